@@ -9,10 +9,11 @@ depth ``WINDOW`` always share the anchor's prefix.
    text is searched (in a later copy, every window also starts in that one).
 2. Anchors' prefixes are counted over all classes; a prefix of a single text can't
    branch at that depth and is left out.
-3. The rest is split by prefix into memory-sized groups. Prefixes have variable
-   length: where a ``GRAM``-word prefix holds more than ``GROUP`` anchors, its
-   suffixes go by their first ``WINDOW`` words instead (a 128-bit hash, aggregated
-   map-side), so each group is one deep node already.
+3. The rest is split by prefix into memory-sized groups. Where a ``GRAM``-word
+   prefix holds more than ``GROUP`` anchors, it is dealt to as many parts; each
+   part's tree yields its nodes at depth ``WINDOW`` (a longer, 50-word prefix,
+   as a 128-bit hash) once, however many suffixes meet there. Nodes of all parts
+   are aggregated, and every part gets back the smallest doc_id of its own nodes.
 4. Each group's tree is built in numpy, level by level: rank at depth 2k from two
    ranks at depth k, on word ids, not hashes. Nodes at depth ``WINDOW`` with two
    texts or more are the deep internal nodes; their suffixes are the repeats, and
@@ -88,30 +89,22 @@ def _scan(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _contexts(rows: DataFrame, window: int) -> DataFrame:
-    """rows: (rep, cls, text, prefixes array<struct<p, heavy>>) -> one row per anchor of a light prefix (its words), per window of a heavy one (node)."""
+    """rows: (rep, cls, text, prefixes array<struct<p, parts>>) -> the words of each anchor's windows."""
 
     def run(c):
-        out = {k: [] for k in ("p", "node", "rep", "cls", "first", "n", "words")}
+        out = {k: [] for k in ("p", "part", "parts", "rep", "cls", "first", "n", "words")}
         for rep, cls, text, ps in zip(c["rep"], c["cls"], c["text"], c["prefixes"], strict=True):
             words = (text or b"").split()
             if hashlib.sha256(b" ".join(words)).digest()[:16] != cls:  # another row with this doc_id
                 continue
-            heavy = {x["p"]: x["heavy"] for x in ps}
-            for p, _, lo, hi in zip(*(x.tolist() for x in anchors(words, window)), strict=True):
-                if (h := heavy.get(p)) is None:
-                    continue
-                for first, last in [(i, i) for i in range(lo, hi + 1)] if h else [(lo, hi)]:
-                    own = b" ".join(words[first : last + window])
-                    out["p"].append(p)
-                    out["node"].append(hashlib.md5(own).digest() if h else None)
-                    out["rep"].append(rep)
-                    out["cls"].append(cls)
-                    out["first"].append(first)
-                    out["n"].append(last - first + 1)
-                    out["words"].append(None if h else own)
+            parts, own = {x["p"]: x["parts"] for x in ps}, int.from_bytes(cls[:7], "big")
+            for p, _, first, last in zip(*(x.tolist() for x in anchors(words, window)), strict=True):
+                if n := parts.get(p):
+                    for k, v in (("p", p), ("part", own % n), ("parts", n), ("rep", rep), ("cls", cls), ("first", first), ("n", last - first + 1), ("words", b" ".join(words[first : last + window]))):
+                        out[k].append(v)
         return out
 
-    return arrow_map(rows, run, "p long, node binary, rep long, cls binary, first int, n int, words binary")
+    return arrow_map(rows, run, "p long, part int, parts int, rep long, cls binary, first int, n int, words binary")
 
 
 def deep_nodes(groups: np.ndarray, texts: list[list[bytes]], counts: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,23 +131,36 @@ def deep_nodes(groups: np.ndarray, texts: list[list[bytes]], counts: np.ndarray,
     return ctx, start, pair(groups[ctx], node)
 
 
-def _repeats(light: DataFrame, window: int) -> DataFrame:
-    """Spans (cls, lo, hi) of words in windows that also start in a smaller doc_id."""
-    target, pack = arrow_rows("cls binary, lo int, hi int")
-
-    def flush(t: pa.Table):
-        rep = np.array(t["rep"].to_pylist(), np.int64)
-        texts = [w.split(b" ") for w in t["words"].to_pylist()]
-        p, counts = np.array(t["p"].to_pylist(), np.int64), np.array(t["n"].to_pylist(), np.int64)
-        ctx, start, node = deep_nodes(np.unique(p, return_inverse=True)[1], texts, counts, window)
-        least = np.full(int(node.max(initial=-1)) + 1, _LAST)
-        np.minimum.at(least, node, rep[ctx])
-        hit = least[node] < rep[ctx]
-        c, s = ctx[hit], start[hit]
-        new = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (s[1:] != s[:-1] + 1)))) if len(c) else np.zeros(0, np.int64)
-        ends = np.concatenate((new[1:], [len(c)])) - 1 if len(c) else new
-        cls, first = t["cls"].to_pylist(), t["first"].to_pylist()
-        return pack({"cls": [cls[i] for i in c[new]], "lo": [first[i] + int(x) for i, x in zip(c[new], s[new], strict=True)], "hi": [first[i] + int(x) + window for i, x in zip(c[ends], s[ends], strict=True)]})
+_SPAN = "cls binary, lo int, hi int"
+
+
+def _tree(t: pa.Table, window: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words and rep of each context; context, start and node of each suffix."""
+    texts = [w.split(b" ") for w in t["words"].to_pylist()]
+    keys = np.unique(np.stack([np.array(t["p"].to_pylist(), np.int64), np.array(t["part"].to_pylist(), np.int64)]), axis=1, return_inverse=True)[1]
+    return texts, np.array(t["rep"].to_pylist(), np.int64), *deep_nodes(keys.reshape(-1), texts, np.array(t["n"].to_pylist(), np.int64), window)
+
+
+def _least(node: np.ndarray, rep: np.ndarray) -> np.ndarray:
+    least = np.full(int(node.max(initial=-1)) + 1, _LAST)
+    np.minimum.at(least, node, rep)
+    return least
+
+
+def _spans(t: pa.Table, ctx: np.ndarray, start: np.ndarray, hit: np.ndarray, window: int) -> dict[str, list]:
+    """Runs of adjacent suffixes that are hit, as word spans."""
+    c, s = ctx[hit], start[hit]
+    if not len(c):
+        return {"cls": [], "lo": [], "hi": []}
+    new = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (s[1:] != s[:-1] + 1))))
+    ends = np.concatenate((new[1:], [len(c)])) - 1
+    first, cls = np.array(t["first"].to_pylist()), t["cls"].to_pylist()
+    return {"cls": [cls[i] for i in c[new]], "lo": (first[c[new]] + s[new]).tolist(), "hi": (first[c[ends]] + s[ends] + window).tolist()}
+
+
+def _by_group(contexts: DataFrame, fn, schema: str) -> DataFrame:
+    """fn over tables of whole (p, part) groups, about ``GROUP`` rows at a time."""
+    target, pack = arrow_rows(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -165,22 +171,53 @@ def _repeats(light: DataFrame, window: int) -> DataFrame:
             rows += b.num_rows
             if rows >= GROUP:  # full groups go; the last may go on in the next batch
                 t = pa.Table.from_batches(held)
-                p = t["p"].to_numpy()
-                whole = rows - int((p == p[-1]).sum())
+                p, part = t["p"].to_numpy(), t["part"].to_numpy()
+                whole = rows - int(((p == p[-1]) & (part == part[-1])).sum())
                 if whole:
-                    yield flush(t.slice(0, whole))
+                    yield pack(fn(t.slice(0, whole)))
                 held = t.slice(whole).to_batches()
                 rows -= whole
         if rows:
-            yield flush(pa.Table.from_batches(held))
+            yield pack(fn(pa.Table.from_batches(held)))
+
+    return contexts.repartition("p", "part").sortWithinPartitions("p", "part").mapInArrow(run, target)
+
+
+def _light_repeats(contexts: DataFrame, window: int) -> DataFrame:
+    def fn(t):
+        _, rep, ctx, start, node = _tree(t, window)
+        return _spans(t, ctx, start, _least(node, rep[ctx])[node] < rep[ctx], window)
+
+    return _by_group(contexts, fn, _SPAN)
+
+
+def _digests(texts: list[list[bytes]], ctx: np.ndarray, start: np.ndarray, node: np.ndarray, window: int) -> list[bytes]:
+    """Of each node: a 128-bit hash of its words."""
+    at = np.unique(node, return_index=True)[1]
+    return [hashlib.md5(b" ".join(texts[c][s : s + window])).digest() for c, s in zip(ctx[at].tolist(), start[at].tolist(), strict=True)]
+
+
+def _heavy_repeats(contexts: DataFrame, window: int) -> DataFrame:
+    def nodes(t):
+        texts, rep, ctx, start, node = _tree(t, window)
+        at = ctx[np.unique(node, return_index=True)[1]]
+        p, part = t["p"].to_pylist(), t["part"].to_pylist()
+        return {"p": [p[i] for i in at], "part": [part[i] for i in at], "node": _digests(texts, ctx, start, node, window), "least": _least(node, rep[ctx])}
 
-    cols = light.select("p", "rep", "cls", "first", "n", "words")
-    return cols.repartition("p").sortWithinPartitions("p").mapInArrow(run, target)
+    of_part = materialize(_by_group(contexts, nodes, "p long, part int, node binary, least long"), "nodes")
+    overall = of_part.groupBy("node").agg(F.min("least").alias("overall"))
+    known = of_part.join(overall, "node").select("p", "part", "node", "overall")
+    target, pack = arrow_rows(_SPAN)
 
+    def mark(t: pa.Table, known: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return pa.Table.from_batches([pack({"cls": [], "lo": [], "hi": []})])
+        texts, rep, ctx, start, node = _tree(t, window)
+        least = dict(zip(known["node"].to_pylist(), known["overall"].to_pylist(), strict=True))
+        best = np.array([least[d] for d in _digests(texts, ctx, start, node, window)], np.int64)
+        return pa.Table.from_batches([pack(_spans(t, ctx, start, best[node] < rep[ctx], window))])
 
-def _heavy_repeats(heavy: DataFrame, window: int) -> DataFrame:
-    least = heavy.groupBy("node").agg(F.min("rep").alias("least"))
-    return heavy.join(least, "node").where("least < rep").select("cls", F.col("first").alias("lo"), (F.col("first") + window).alias("hi"))
+    return contexts.groupBy("p", "part").cogroup(known.groupBy("p", "part")).applyInArrow(mark, target)
 
 
 def _cut(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
@@ -198,12 +235,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, group: int = GROUP) ->
     classes = scan.where(F.size("prefixes") > 0).groupBy("cls").agg(F.min_by(F.struct("doc_id", "prefixes"), "doc_id").alias("x")).select("cls", F.col("x.doc_id").alias("rep"), F.col("x.prefixes").alias("prefixes"))
     classes = materialize(classes, "classes")
     listed = classes.select("cls", "rep", F.explode("prefixes").alias("p"))
-    branch = listed.groupBy("p").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("p", (F.col("n") > group).alias("heavy"))
-    wanted = listed.distinct().join(branch, "p").groupBy("cls", "rep").agg(F.collect_set(F.struct("p", "heavy")).alias("prefixes"))
+    branch = listed.groupBy("p").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("p", F.ceil(F.col("n") / group).cast("int").alias("parts"))
+    wanted = listed.distinct().join(branch, "p").groupBy("cls", "rep").agg(F.collect_set(F.struct("p", "parts")).alias("prefixes"))
     texts = docs.join(wanted, docs.doc_id == wanted.rep).select("rep", "cls", "text", "prefixes")
     texts = materialize(texts, "texts")
     contexts = materialize(_contexts(texts, window), "contexts")
-    spans = _repeats(contexts.where("node IS NULL"), window).unionByName(_heavy_repeats(contexts.where("node IS NOT NULL"), window))
+    spans = _light_repeats(contexts.where("parts = 1"), window).unionByName(_heavy_repeats(contexts.where("parts > 1"), window))
     spans = spans.groupBy("cls").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
     return scan, texts, spans
 
