@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import OP4_SQL, op4_decontaminate
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .substring_dedup import OP2_SQL, op2_substring_dedup
+from .toxicity import op8_toxicity
+from .packing import op3_packing
 from .simhash import op1_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_packing": op3_packing,
     "op4_decontaminate": op4_decontaminate,
+    "op8_toxicity": op8_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
 SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op4_decontaminate": OP4_SQL, "op10_exact_dedup": OP10_SQL}
