@@ -10,7 +10,9 @@ from .decontaminate import OP4_SQL, op4_decontaminate
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .substring_dedup import OP2_SQL, op2_substring_dedup
 from .toxicity import op8_toxicity
+from .warc import op9_warc
 from .packing import op3_packing
+from .rollups import op7_token_rollups
 from .simhash import op1_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -18,7 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_packing": op3_packing,
     "op4_decontaminate": op4_decontaminate,
+    "op7_token_rollups": op7_token_rollups,
     "op8_toxicity": op8_toxicity,
+    "op9_warc": op9_warc,
     "op10_exact_dedup": op10_exact_dedup,
 }
 SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op4_decontaminate": OP4_SQL, "op10_exact_dedup": OP10_SQL}
