@@ -12,6 +12,7 @@ from .substring_dedup import OP2_SQL, op2_substring_dedup
 from .toxicity import op8_toxicity
 from .warc import op9_warc
 from .packing import op3_packing
+from .pii import op6_pii
 from .rollups import op7_token_rollups
 from .simhash import op1_simhash
 
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_packing": op3_packing,
     "op4_decontaminate": op4_decontaminate,
+    "op6_pii": op6_pii,
     "op7_token_rollups": op7_token_rollups,
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
