@@ -11,6 +11,7 @@ from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .substring_dedup import OP2_SQL, op2_substring_dedup
 from .toxicity import op8_toxicity
 from .warc import op9_warc
+from .langid import op5_language_id
 from .packing import op3_packing
 from .pii import op6_pii
 from .rollups import op7_token_rollups
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_packing": op3_packing,
     "op4_decontaminate": op4_decontaminate,
+    "op5_language_id": op5_language_id,
     "op6_pii": op6_pii,
     "op7_token_rollups": op7_token_rollups,
     "op8_toxicity": op8_toxicity,
