@@ -10,10 +10,12 @@ depth ``WINDOW`` always share the anchor's prefix.
 2. Anchors' prefixes are counted over all classes; a prefix of a single text can't
    branch at that depth and is left out.
 3. The rest is split by prefix into memory-sized groups. Where a ``GRAM``-word
-   prefix holds more than ``GROUP`` anchors, it is dealt to as many parts; each
-   part's tree yields its nodes at depth ``WINDOW`` (a longer, 50-word prefix,
-   as a 128-bit hash) once, however many suffixes meet there. Nodes of all parts
-   are aggregated, and every part gets back the smallest doc_id of its own nodes.
+   prefix holds more than ``GROUP`` anchors, its suffixes are dealt to parts by
+   document; each part's trees yield their nodes at depth ``WINDOW`` (a longer,
+   50-word prefix, as a 128-bit hash) once, however many suffixes meet there.
+   Nodes of all parts are aggregated, and every part gets back the smallest doc_id
+   of its own nodes. A document's heavy suffixes are in one part, so its adjacent
+   spans are merged there.
 4. Each group's tree is built in numpy, level by level: rank at depth 2k from two
    ranks at depth k, on word ids, not hashes. Nodes at depth ``WINDOW`` with two
    texts or more are the deep internal nodes; their suffixes are the repeats, and
@@ -88,23 +90,23 @@ def _scan(docs: DataFrame, window: int) -> DataFrame:
     return arrow_map(docs, run, "doc_id long, cls binary, n_words long, sha string, prefixes array<long>")
 
 
-def _contexts(rows: DataFrame, window: int) -> DataFrame:
-    """rows: (rep, cls, text, prefixes array<struct<p, parts>>) -> the words of each anchor's windows."""
+def _contexts(rows: DataFrame, window: int, parts: int) -> DataFrame:
+    """rows: (rep, cls, text, prefixes array<struct<p, heavy>>) -> the words of each anchor's windows; heavy ones have a part."""
 
     def run(c):
-        out = {k: [] for k in ("p", "part", "parts", "rep", "cls", "first", "n", "words")}
+        out = {k: [] for k in ("p", "part", "rep", "cls", "first", "n", "words")}
         for rep, cls, text, ps in zip(c["rep"], c["cls"], c["text"], c["prefixes"], strict=True):
             words = (text or b"").split()
             if hashlib.sha256(b" ".join(words)).digest()[:16] != cls:  # another row with this doc_id
                 continue
-            parts, own = {x["p"]: x["parts"] for x in ps}, int.from_bytes(cls[:7], "big")
+            heavy, own = {x["p"]: x["heavy"] for x in ps}, int.from_bytes(cls[:7], "big") % parts
             for p, _, first, last in zip(*(x.tolist() for x in anchors(words, window)), strict=True):
-                if n := parts.get(p):
-                    for k, v in (("p", p), ("part", own % n), ("parts", n), ("rep", rep), ("cls", cls), ("first", first), ("n", last - first + 1), ("words", b" ".join(words[first : last + window]))):
+                if (h := heavy.get(p)) is not None:
+                    for k, v in (("p", p), ("part", own if h else None), ("rep", rep), ("cls", cls), ("first", first), ("n", last - first + 1), ("words", b" ".join(words[first : last + window]))):
                         out[k].append(v)
         return out
 
-    return arrow_map(rows, run, "p long, part int, parts int, rep long, cls binary, first int, n int, words binary")
+    return arrow_map(rows, run, "p long, part int, rep long, cls binary, first int, n int, words binary")
 
 
 def deep_nodes(groups: np.ndarray, texts: list[list[bytes]], counts: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,8 +139,8 @@ _SPAN = "cls binary, lo int, hi int"
 def _tree(t: pa.Table, window: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words and rep of each context; context, start and node of each suffix."""
     texts = [w.split(b" ") for w in t["words"].to_pylist()]
-    keys = np.unique(np.stack([np.array(t["p"].to_pylist(), np.int64), np.array(t["part"].to_pylist(), np.int64)]), axis=1, return_inverse=True)[1]
-    return texts, np.array(t["rep"].to_pylist(), np.int64), *deep_nodes(keys.reshape(-1), texts, np.array(t["n"].to_pylist(), np.int64), window)
+    keys = np.unique(np.array(t["p"].to_pylist(), np.int64), return_inverse=True)[1]
+    return texts, np.array(t["rep"].to_pylist(), np.int64), *deep_nodes(keys, texts, np.array(t["n"].to_pylist(), np.int64), window)
 
 
 def _least(node: np.ndarray, rep: np.ndarray) -> np.ndarray:
@@ -148,18 +150,23 @@ def _least(node: np.ndarray, rep: np.ndarray) -> np.ndarray:
 
 
 def _spans(t: pa.Table, ctx: np.ndarray, start: np.ndarray, hit: np.ndarray, window: int) -> dict[str, list]:
-    """Runs of adjacent suffixes that are hit, as word spans."""
-    c, s = ctx[hit], start[hit]
-    if not len(c):
-        return {"cls": [], "lo": [], "hi": []}
-    new = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (s[1:] != s[:-1] + 1))))
-    ends = np.concatenate((new[1:], [len(c)])) - 1
-    first, cls = np.array(t["first"].to_pylist()), t["cls"].to_pylist()
-    return {"cls": [cls[i] for i in c[new]], "lo": (first[c[new]] + s[new]).tolist(), "hi": (first[c[ends]] + s[ends] + window).tolist()}
-
-
-def _by_group(contexts: DataFrame, fn, schema: str) -> DataFrame:
-    """fn over tables of whole (p, part) groups, about ``GROUP`` rows at a time."""
+    """Suffixes that are hit, as word spans; overlapping ones of a text are merged."""
+    first, cls = np.array(t["first"].to_pylist(), np.int64), t["cls"].to_pylist()
+    out: dict[str, list] = {"cls": [], "lo": [], "hi": []}
+    at: dict[bytes, list[int]] = {}
+    for c, lo in zip(ctx[hit].tolist(), (first[ctx] + start)[hit].tolist(), strict=True):
+        at.setdefault(cls[c], []).append(lo)
+    for name, starts in at.items():
+        x = np.unique(starts)
+        new = np.flatnonzero(np.concatenate(([True], x[1:] > x[:-1] + window)))
+        out["cls"] += [name] * len(new)
+        out["lo"] += x[new].tolist()
+        out["hi"] += (x[np.concatenate((new[1:], [len(x)])) - 1] + window).tolist()
+    return out
+
+
+def _by_group(contexts: DataFrame, key: str, fn, schema: str) -> DataFrame:
+    """fn over tables of whole groups by ``key``, about ``GROUP`` rows at a time."""
     target, pack = arrow_rows(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +178,8 @@ def _by_group(contexts: DataFrame, fn, schema: str) -> DataFrame:
             rows += b.num_rows
             if rows >= GROUP:  # full groups go; the last may go on in the next batch
                 t = pa.Table.from_batches(held)
-                p, part = t["p"].to_numpy(), t["part"].to_numpy()
-                whole = rows - int(((p == p[-1]) & (part == part[-1])).sum())
+                k = t[key].to_numpy()
+                whole = rows - int((k == k[-1]).sum())
                 if whole:
                     yield pack(fn(t.slice(0, whole)))
                 held = t.slice(whole).to_batches()
@@ -180,7 +187,7 @@ def _by_group(contexts: DataFrame, fn, schema: str) -> DataFrame:
         if rows:
             yield pack(fn(pa.Table.from_batches(held)))
 
-    return contexts.repartition("p", "part").sortWithinPartitions("p", "part").mapInArrow(run, target)
+    return contexts.repartition(key).sortWithinPartitions(key).mapInArrow(run, target)
 
 
 def _light_repeats(contexts: DataFrame, window: int) -> DataFrame:
@@ -188,7 +195,7 @@ def _light_repeats(contexts: DataFrame, window: int) -> DataFrame:
         _, rep, ctx, start, node = _tree(t, window)
         return _spans(t, ctx, start, _least(node, rep[ctx])[node] < rep[ctx], window)
 
-    return _by_group(contexts, fn, _SPAN)
+    return _by_group(contexts, "p", fn, _SPAN)
 
 
 def _digests(texts: list[list[bytes]], ctx: np.ndarray, start: np.ndarray, node: np.ndarray, window: int) -> list[bytes]:
@@ -200,13 +207,14 @@ def _digests(texts: list[list[bytes]], ctx: np.ndarray, start: np.ndarray, node:
 def _heavy_repeats(contexts: DataFrame, window: int) -> DataFrame:
     def nodes(t):
         texts, rep, ctx, start, node = _tree(t, window)
-        at = ctx[np.unique(node, return_index=True)[1]]
-        p, part = t["p"].to_pylist(), t["part"].to_pylist()
-        return {"p": [p[i] for i in at], "part": [part[i] for i in at], "node": _digests(texts, ctx, start, node, window), "least": _least(node, rep[ctx])}
+        part = t["part"].to_pylist()
+        key = np.unique(np.array(part)[ctx] * (int(node.max(initial=0)) + 1) + node, return_inverse=True)[1]  # a node of each part
+        at = ctx[np.unique(key, return_index=True)[1]]
+        return {"part": [part[i] for i in at], "node": _digests(texts, ctx, start, key, window), "least": _least(key, rep[ctx])}
 
-    of_part = materialize(_by_group(contexts, nodes, "p long, part int, node binary, least long"), "nodes")
+    of_part = materialize(_by_group(contexts, "part", nodes, "part int, node binary, least long"), "nodes")
     overall = of_part.groupBy("node").agg(F.min("least").alias("overall"))
-    known = of_part.join(overall, "node").select("p", "part", "node", "overall")
+    known = of_part.join(overall, "node").select("part", "node", "overall")
     target, pack = arrow_rows(_SPAN)
 
     def mark(t: pa.Table, known: pa.Table) -> pa.Table:
@@ -217,7 +225,7 @@ def _heavy_repeats(contexts: DataFrame, window: int) -> DataFrame:
         best = np.array([least[d] for d in _digests(texts, ctx, start, node, window)], np.int64)
         return pa.Table.from_batches([pack(_spans(t, ctx, start, best[node] < rep[ctx], window))])
 
-    return contexts.groupBy("p", "part").cogroup(known.groupBy("p", "part")).applyInArrow(mark, target)
+    return contexts.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(mark, target)
 
 
 def _cut(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
@@ -235,12 +243,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, group: int = GROUP) ->
     classes = scan.where(F.size("prefixes") > 0).groupBy("cls").agg(F.min_by(F.struct("doc_id", "prefixes"), "doc_id").alias("x")).select("cls", F.col("x.doc_id").alias("rep"), F.col("x.prefixes").alias("prefixes"))
     classes = materialize(classes, "classes")
     listed = classes.select("cls", "rep", F.explode("prefixes").alias("p"))
-    branch = listed.groupBy("p").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("p", F.ceil(F.col("n") / group).cast("int").alias("parts"))
-    wanted = listed.distinct().join(branch, "p").groupBy("cls", "rep").agg(F.collect_set(F.struct("p", "parts")).alias("prefixes"))
+    branch = listed.groupBy("p").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("p", "n", (F.col("n") > group).alias("heavy"))
+    branch = materialize(branch, "branch")
+    parts = -(-(branch.where("heavy").agg(F.sum("n")).first()[0] or 1) // group)
+    wanted = listed.distinct().join(branch, "p").groupBy("cls", "rep").agg(F.collect_set(F.struct("p", "heavy")).alias("prefixes"))
     texts = docs.join(wanted, docs.doc_id == wanted.rep).select("rep", "cls", "text", "prefixes")
     texts = materialize(texts, "texts")
-    contexts = materialize(_contexts(texts, window), "contexts")
-    spans = _light_repeats(contexts.where("parts = 1"), window).unionByName(_heavy_repeats(contexts.where("parts > 1"), window))
+    contexts = materialize(_contexts(texts, window, parts), "contexts")
+    spans = _light_repeats(contexts.where("part IS NULL"), window).unionByName(_heavy_repeats(contexts.where("part IS NOT NULL"), window))
     spans = spans.groupBy("cls").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
     return scan, texts, spans
 
