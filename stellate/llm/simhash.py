@@ -171,10 +171,9 @@ def links(fps: DataFrame, distance: int = MAX_DISTANCE, group: int = GROUP) -> D
         if hot is None:
             return found
         deeper = level.join(hot, ["mask", "key"], "left_semi")
-        parts = [_deal(deeper.where(F.col("mask") == m), m % (1 << BITS), distance) for m in over]
-        level = parts[0]
-        for p in parts[1:]:
-            level = level.unionByName(p)
+        cuts = [(m, _signed(s)) for m in over for s in _masks(m % (1 << BITS), distance)]  # at most 15 ** level rows
+        cuts = fps.sparkSession.createDataFrame(cuts, "mask long, sub long")
+        level = deeper.join(F.broadcast(cuts), "mask").select(F.col("sub").alias("mask"), F.col("fp").bitwiseAND(F.col("sub")).alias("key"), "fp")
         level = materialize(level.distinct(), "dealt-anew")
 
 
