@@ -132,21 +132,24 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     k = range(len(langs))
     sums = lambda by, name: seen.groupBy(*by).agg(F.array(*[F.sum(F.get("own", i)) for i in k]).alias(name))
     everywhere = [float(x or 0) for x in (sums([], "n").first()[0] or [0.0] * len(langs))]  # one number a language
-    total = sum(everywhere) + len(langs)
-    top = F.array(*[F.lit((x + 1) / total) for x in everywhere])
     joined = seen.join(sums(["kind", "host", "domain"], "hn"), ["kind", "host", "domain"], "left").join(sums(["kind", "domain"], "dn"), ["kind", "domain"], "left")
-
-    def prior(counts: str, parent: Column) -> Column:
-        n = F.array(*[F.greatest(F.coalesce(F.get(counts, i), F.lit(0.0)) - F.coalesce(F.when(F.col(counts).isNotNull(), F.get("own", i)), F.lit(0.0)), F.lit(0.0)) for i in k])
-        size = sum((F.get(n, i) for i in k), F.lit(KAPPA))
-        return F.array(*[(F.get(n, i) + KAPPA * F.get(parent, i)) / size for i in k])
-
-    joined = joined.withColumn("dp", prior("dn", top)).withColumn("hp", prior("hn", F.col("dp")))
-    joined = joined.withColumn("lp", F.array(*[F.get("ev", i) + F.log(F.greatest(F.get("hp", i), F.lit(1e-9))) for i in k]))
-    z = F.array_max("lp")
-    best = (F.array_position("lp", z) - 1).cast("int")
-    share = F.lit(1.0) / sum((F.exp(F.get("lp", i) - z) for i in k), F.lit(0.0))
-    return joined.select("kind", "doc_id", "page_id", F.get(F.array(*map(F.lit, langs)), best).alias("lang"), F.round(share, 6).alias("confidence"), "text_lang", "declared")
+    top = (np.array(everywhere) + 1) / (sum(everywhere) + len(langs))
+
+    def fuse(c):
+        def filled(values):
+            return np.array([v if v is not None else [0.0] * len(langs) for v in values], float).reshape(-1, len(langs))
+
+        own, prior = filled(c["own"]), top
+        for counts in ("dn", "hn"):  # the domain's towards the table's, the host's towards the domain's
+            known = np.array([v is not None for v in c[counts]], float)[:, None]
+            n = np.maximum(filled(c[counts]) - own * known, 0)
+            prior = (n + KAPPA * prior) / (KAPPA + n.sum(1, keepdims=True))
+        lp = filled(c["ev"]) + np.log(np.maximum(prior, 1e-9))
+        share = 1 / np.exp(lp - lp.max(1, keepdims=True)).sum(1)
+        return {**{k: c[k] for k in ("kind", "doc_id", "page_id", "text_lang", "declared")}, "lang": [langs[i] for i in lp.argmax(1)], "confidence": share}
+
+    fused = arrow_map(joined.select("kind", "doc_id", "page_id", "ev", "own", "hn", "dn", "text_lang", "declared"), fuse, "kind string, doc_id long, page_id long, lang string, confidence double, text_lang string, declared string")
+    return fused.withColumn("confidence", F.round("confidence", 6))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
