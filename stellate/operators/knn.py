@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -74,17 +74,18 @@ def pairwise(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
         return np.where(den == 0, np.nan, 1 - np.clip(dot / den, -1, 1))
 
 
-def knn_batch(df: DataFrame, queries: DataFrame, k: int, metric: str = "l2", vec: str = "embedding", id_col: str = "vec_id", query_id: str = "query_id", query_vec: str = "query") -> DataFrame:
+def knn_batch(df: DataFrame, queries: DataFrame, k: int, metric: str = "l2", vec: str = "embedding", id_col: str = "vec_id", query_id: str = "query_id", query_vec: str = "query", probe: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(query_id, id, distance, rank) of the k nearest rows of each query.
 
     Queries are sent in blocks of ``BLOCK``; each Arrow batch of the table yields at
-    most k rows a query, so what is shuffled follows batches, not pairs.
+    most k rows a query, so what is shuffled follows batches, not pairs. ``probe``
+    gives (queries, cells) true where a query looks into a cell of column ``_cell``.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     if k <= 0:
         return df.sparkSession.createDataFrame([], f"{query_id} long, {id_col} long, distance double, rank int")
-    rows = df.where(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), F.col(vec).alias("v"))
+    rows = df.where(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), F.col(vec).alias("v"), *(["_cell"] if probe else []))
     schema = T._parse_datatype_string(f"{query_id} long, {id_col} long, distance double")
     blocks, held = [], []
     for r in queries.select(F.col(query_id).cast("long"), query_vec).where(F.col(query_vec).isNotNull()).toLocalIterator():
@@ -95,13 +96,24 @@ def knn_batch(df: DataFrame, queries: DataFrame, k: int, metric: str = "l2", vec
     blocks += [held] if held else []
 
     def near(ids: np.ndarray, q: np.ndarray):
+        looks = probe(q) if probe else None
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if not len(b):
                     continue
-                own = b[id_col].to_numpy()
-                d = np.round(pairwise(q, np.stack(b["v"].to_numpy()).astype(np.float64), metric), DIGITS) + 0.0
-                order = [np.lexsort((own, row))[:k] for row in d]
+                own, x = b[id_col].to_numpy(), np.stack(b["v"].to_numpy()).astype(np.float64)
+                if looks is None:
+                    d = np.round(pairwise(q, x, metric), DIGITS) + 0.0
+                    order = [np.lexsort((own, row))[:k] for row in d]
+                else:
+                    cell, d = b["_cell"].to_numpy(), np.full((len(q), len(own)), np.nan)
+                    for c in np.unique(cell):
+                        at, by = np.flatnonzero(cell == c), np.flatnonzero(looks[:, c])
+                        if len(by):
+                            d[np.ix_(by, at)] = np.round(pairwise(q[by], x[at], metric), DIGITS) + 0.0
+                    seen = [np.flatnonzero(s) for s in looks[:, cell]]
+                    order = [s[np.lexsort((own[s], row[s]))[:k]] for s, row in zip(seen, d, strict=True)]
                 yield pd.DataFrame({query_id: np.repeat(ids, [len(o) for o in order]), id_col: np.concatenate([own[o] for o in order]), "distance": np.concatenate([row[o] for row, o in zip(d, order, strict=True)])})
 
         return run
@@ -120,12 +132,13 @@ class VectorIndex:
     """Flat (exact) or IVF (approximate) index over a table of vectors.
 
     IVF: centroids by k-means on a bounded sample (``SAMPLE`` rows); every row is
-    filed in its nearest cell. A search reads the ``nprobe`` nearest cells only.
+    filed in its nearest cell. A search reads the ``nprobe`` nearest cells only; the
+    defaults are set by the recall measured on embeddings without clear clusters.
     """
 
     SAMPLE = 20_000
 
-    def __init__(self, kind: str = "flat", metric: str = "l2", cells: int = 16, nprobe: int = 8, vec: str = "embedding", id_col: str = "vec_id"):
+    def __init__(self, kind: str = "flat", metric: str = "l2", cells: int = 16, nprobe: int = 12, vec: str = "embedding", id_col: str = "vec_id"):
         if kind not in ("flat", "ivf"):
             raise NotImplementedError(f"index kind {kind!r}: graph indexes have no form in Spark; use flat or ivf")
         self.kind, self.metric, self.cells, self.nprobe, self.vec, self.id_col = kind, metric, cells, nprobe, vec, id_col
@@ -171,10 +184,21 @@ class VectorIndex:
     def search(self, query: Sequence[float], k: int, labels: Sequence | None = None, label_col: str = "label") -> DataFrame:
         rows = self.rows
         if self.kind == "ivf" and len(self.centroids):
-            near = pairwise(np.array([query], np.float64), self.centroids, "l2_squared")[0].argsort()[: self.nprobe]
+            near = np.flatnonzero(self._probe(np.array([query], np.float64))[0])
             rows = rows.where(F.col("_cell").isin([int(i) for i in near]))
         return knn(rows, query, k, self.metric, self.vec, self.id_col, labels, label_col).drop("_cell")
 
+    def _probe(self, q: np.ndarray) -> np.ndarray:
+        """(queries, cells): true for the ``nprobe`` nearest cells."""
+        out = np.zeros((len(q), len(self.centroids)), bool)
+        np.put_along_axis(out, pairwise(q, self.centroids, "l2_squared").argsort(1)[:, : self.nprobe], True, 1)
+        return out
+
+    def search_batch(self, queries: DataFrame, k: int) -> DataFrame:
+        """(query_id, id, distance, rank) as of knn_batch, for queries (query_id, query)."""
+        probe = self._probe if self.kind == "ivf" and len(self.centroids) else None
+        return knn_batch(self.rows, queries, k, self.metric, self.vec, self.id_col, probe=probe)
+
     def save(self, path: str) -> None:
         """Rows partitioned by cell, so a search prunes files; centroids beside them."""
         spark = self.rows.sparkSession

@@ -98,9 +98,12 @@ def _skip_deleted(spark, sf):
 _add("knn_skip_deleted", knn_sql("l2", 10, "NOT (vec_id % 7 = 0 AND vec_id > 0)"), _skip_deleted)
 
 
+def _query_vectors(spark, sf):
+    return emb(spark, sf).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
 def _batch(spark, sf):
-    q = emb(spark, sf).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return K.knn_batch(emb(spark, sf), q, 10).select("query_id", "vec_id", "distance", "rank")
+    return K.knn_batch(emb(spark, sf), _query_vectors(spark, sf), 10).select("query_id", "vec_id", "distance", "rank")
 
 
 _add(
@@ -111,7 +114,7 @@ _add(
     FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)) WHERE rank <= 10""",
     _batch,
 )
-_add("ivf_index", None, lambda s, d: K.VectorIndex("ivf").build(emb(s, d)).search(query_vector(s, d), 10).select("vec_id", "label", "distance"))
+_add("ivf_index", None, lambda s, d: K.VectorIndex("ivf").build(emb(s, d)).search_batch(_query_vectors(s, d), 10).select("query_id", "vec_id", "distance", "rank"))
 _add("vec_norm", f"SELECT vec_id, round(sqrt(list_inner_product({_E}, {_E})), 6) AS norm FROM embeddings", lambda s, d: emb(s, d).select("vec_id", r6(D.norm("embedding")).alias("norm")))
 _add(
     "vec_normalize",
