@@ -91,7 +91,8 @@ def rows_of(docs: DataFrame | None, pages: DataFrame | None) -> DataFrame:
         parts.append(docs.select(F.lit("document").alias("kind"), F.col("doc_id").cast("long").alias("doc_id"), null("long").alias("page_id"), source.alias("host"), source.alias("domain"), null("string").alias("declared"), null("string").alias("suffix"), null("string").alias("path"), F.col("text").alias("content")))
     if pages is not None:
         host = F.when(F.length(_host("url")) > 0, _host("url"))
-        declared = F.lower(F.regexp_extract("html", r"(?is)^.{0,2000}?<html[^>]*?\slang\s*=\s*[\"']?([A-Za-z]{2})", 1))
+        # the first html tag with a language, anywhere in the page; an unclosed tag ends at the next one, so the scan stays linear
+        declared = F.lower(F.regexp_extract("html", r"(?i)<html(?=\s)(?:(?!<html\s)[^>])*?\slang\s*=\s*[\"']?([A-Za-z]{2})", 1))
         parts.append(pages.select(F.lit("page").alias("kind"), null("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), host.alias("host"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"), F.nullif(declared, F.lit("")).alias("declared"), F.regexp_extract(host, r"\.([a-z]+)$", 1).alias("suffix"), F.lower(F.regexp_extract("url", r"://[^/]+/([A-Za-z]{2})(?:/|$)", 1)).alias("path"), F.col("html").alias("content")))
     out = parts[0]
     for p in parts[1:]:
