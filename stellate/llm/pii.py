@@ -3,10 +3,10 @@
 Base spans are found by linear scans that give just what the four patterns give,
 leftmost and non-overlapping per kind. The CRF is trained from a small labelled
 table (``labelled()``, a few hundred short lines made by rule) by maximum
-likelihood, and decoded by Viterbi in numpy for all segments of a batch at once.
-A segment is a run of words within ``REACH`` of a word with a digit or an at sign;
-words elsewhere have shapes that the table labels O throughout. The CRF adds spans
-that overlap no base span; base spans always stay.
+likelihood, and decoded by Viterbi in numpy over every word of every text. Texts go
+in pieces of ``PIECE`` words that are decoded with ``OVERLAP`` more on either side,
+many pieces at once; the weights of a word are summed once and kept. The CRF adds
+spans that overlap no base span; base spans always stay.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from .common import arrow_map, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-REACH = 3
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -158,9 +157,21 @@ def labelled() -> list[tuple[list[str], list[str]]]:
     return out
 
 
+#: Classes of shape(), a character each; further characters stand for themselves.
+_CLASSES = {c: k for c in range(0x250) if (k := "A" if re.match("[A-ZÀ-ÖØ-Þ]", chr(c)) else "9" if re.match(r"\d", chr(c)) else "a" if re.match(r"[^\W\d_A-ZÀ-Þ]", chr(c)) else None)}
+#: Words of a piece that is decoded at once, and further ones read on either side.
+PIECE, OVERLAP = 256, 32
+#: Words whose weights a process keeps, and their characters.
+KEPT_WORDS, KEPT_CHARS = 1 << 17, 1 << 23
+#: Characters of texts whose words are held at once.
+BLOCK_CHARS = 1 << 20
+
+
 class CRF:
     """Linear-chain conditional random field with word features and label transitions."""
 
+    _kept: list | None = None
+
     def __init__(self, table: list[tuple[list[str], list[str]]], rounds: int = 120, rate: float = 0.15, decay: float = 1e-3):
         feats = [_features(ws) for ws, _ in table]
         self.ids: dict[str, int] = {}
@@ -209,6 +220,80 @@ class CRF:
         edge = np.exp(f[:, :-1, :, None] + self.a + (e + b)[:, 1:, None, :] - z[:, None, None, None]) * real[:, 1:, None, None]
         return node, edge.sum((0, 1))
 
+    def _weights(self, word: str) -> np.ndarray:
+        """(3, labels): what a word gives itself (with the bias), the next word and the one before."""
+        own = _word_features(word)
+        sums = [[self.ids[f] for f in fs if f in self.ids] for fs in (["bias", *own], [f"-1{x}" for x in own], [f"+1{x}" for x in own])]
+        return np.stack([self.w[i].sum(0) for i in sums])
+
+    def _form(self, word: str) -> str:
+        """Words of one form have the same features: letters and digits count by class, but in words of the table and checked numbers."""
+        form = word.translate(_CLASSES)
+        if "9" not in form:
+            return word if len(word) <= 12 and f"w={word.lower().strip('.,:;()[]')}" in self.ids else form
+        return word if 13 <= form.count("9") <= 16 else form
+
+    def label(self, lines: list[list[str]]) -> list[np.ndarray]:
+        """Label numbers of every word; the same as decode(), for many and long lines."""
+        if self._kept is None or len(self._kept[0]) > KEPT_WORDS or self._kept[3] > KEPT_CHARS:
+            self._kept = [{}, {}, np.zeros((0, 3, len(LABELS)), np.float32), 0]
+        index, forms, weights, chars = self._kept
+        coded, new = [], []
+        for words in lines:
+            for w in set(words).difference(index):
+                form = self._form(w)
+                if (k := forms.get(form)) is None:
+                    k = forms[form] = len(weights) + len(new)
+                    new.append(self._weights(w).astype(np.float32))
+                index[w] = k
+                chars += len(w) + len(form)
+            coded.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
+        weights = np.concatenate([weights, new]) if new else weights
+        self._kept[2:] = [weights, chars]
+        out = [np.zeros(len(c), np.int8) for c in coded]
+        pieces = [(i, lo, max(0, lo - OVERLAP), min(len(c), lo + PIECE + OVERLAP)) for i, c in enumerate(coded) for lo in range(0, len(c), PIECE)]
+        pieces.sort(key=lambda p: p[3] - p[2])
+        for at in range(0, len(pieces), 256):
+            some = pieces[at : at + 256]
+            t = some[-1][3] - some[-1][2]
+            e = np.zeros((t, len(some), len(LABELS)), np.float32)
+            for r, (i, _, a, b) in enumerate(some):
+                e[: b - a, r] = self._emissions(coded[i], a, b, weights)
+            found = self._viterbi(e, np.array([b - a for *_, a, b in some]))
+            for r, (i, lo, a, _) in enumerate(some):
+                hi = min(len(coded[i]), lo + PIECE)
+                out[i][lo:hi] = found[lo - a : hi - a, r]
+        return out
+
+    def _emissions(self, c: np.ndarray, a: int, b: int, weights: np.ndarray) -> np.ndarray:
+        e = weights[c[a:b], 0]
+        lo, hi = int(a == 0), b - int(b == len(c))
+        e[lo:] += weights[c[a + lo - 1 : b - 1], 1]
+        e[: hi - a] += weights[c[a + 1 : hi + 1], 2]
+        for edge, j in (("-1edge", 0), ("+1edge", -1)):
+            if edge in self.ids and (a == 0 if j == 0 else b == len(c)):
+                e[j] += self.w[self.ids[edge]]
+        return e
+
+    def _viterbi(self, e: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Best labels (words, lines); e: (words, lines, labels)."""
+        t, n, k = e.shape
+        into, back, r = np.ascontiguousarray(self.a.T, np.float32), np.zeros((t, n, k), np.int8), np.arange(n)
+        best, last = e[0], np.zeros(n, np.int8)
+        last[size == 1] = best[size == 1].argmax(1)
+        for j in range(1, t):
+            s = best[:, None, :] + into
+            back[j] = s.argmax(2)
+            best = np.take_along_axis(s, back[j][..., None].astype(np.intp), 2)[..., 0] + e[j]
+            if (end := size == j + 1).any():
+                last[end] = best[end].argmax(1)
+        out, now = np.zeros((t, n), np.int8), last
+        for j in range(t - 1, -1, -1):
+            out[j] = now = np.where(j == size - 1, last, now)
+            if j:
+                now = np.where(j < size, back[j, r, now], now)
+        return out
+
     def decode(self, lines: list[list[str]]) -> list[list[str]]:
         """Viterbi for all lines at once, padded to the longest of similar length."""
         out: list[list[str]] = [[] for _ in lines]
@@ -237,65 +322,31 @@ class CRF:
         return out
 
 
-#: Words of a segment that is decoded at once; longer ones go in pieces.
-SEGMENT = 256
-
-
-def segments(t: str) -> list[list[tuple[int, int]]]:
-    """Runs of words within REACH of a word with a digit or an at sign, as offsets."""
-    out: list[list[tuple[int, int]]] = []
-    done = 0
-    for m in _TRIGGER.finditer(t):
-        if m.start() < done:
-            continue
-        lo = m.start()
-        while lo > 0 and not t[lo - 1].isspace():
-            lo -= 1
-        w = _TOKEN.match(t, lo)
-        left, at = [], lo
-        for _ in range(REACH):  # words before
-            end = at
-            while end > done and t[end - 1].isspace():
-                end -= 1
-            start = end
-            while start > done and not t[start - 1].isspace():
-                start -= 1
-            if start == end:
-                break
-            left.append((start, end))
-            at = start
-        right, at = [], w.end()
-        for _ in range(REACH):
-            x = _TOKEN.search(t, at)
-            if not x:
-                break
-            right.append(x.span())
-            at = x.end()
-            if _TRIGGER.search(x[0]):
-                break  # it starts anew from there
-        own = [*reversed(left), w.span()]
-        cut = next((i for i, x in enumerate(right) if _TRIGGER.search(t, *x)), len(right))
-        run = own + right[:cut]
-        done = run[-1][1]
-        if out and cut is not None and len(out[-1]) < SEGMENT and not t[out[-1][-1][1] : run[0][0]].strip():
-            out[-1] += run
-        else:
-            out.append(run)
-    return out
+def _labelled_texts(texts: list[str | None], crf: CRF) -> Iterator[tuple[int, np.ndarray]]:
+    """(index, labels of its words) of every text that isn't null; BLOCK_CHARS characters or one text are held at once."""
+    held, chars = [], 0
+    for i, t in enumerate(texts):
+        if t is not None:
+            held.append(i)
+            chars += len(t)
+        if held and (chars >= BLOCK_CHARS or i == len(texts) - 1):
+            yield from zip(held, crf.label([_TOKEN.findall(texts[j]) for j in held]), strict=True)
+            held, chars = [], 0
 
 
 def added_spans(texts: list[str | None], base: list[list[tuple[int, int, int]]], crf: CRF) -> list[list[tuple[int, int, int]]]:
     """Per text: spans of the CRF that overlap no base span."""
-    cut = [(i, s) for i, t in enumerate(texts) if t and _TRIGGER.search(t) for s in segments(t)]
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for (i, seg), labels in zip(cut, crf.decode([[texts[i][a:b] for a, b in s] for i, s in cut]), strict=True):
+    for i, labels in _labelled_texts(texts, crf):
+        at = np.flatnonzero(labels).tolist()
+        seg = [m.span() for m in _TOKEN.finditer(texts[i])] if at else []
         j = 0
-        while j < len(seg):
-            if labels[j] == "O":
-                j += 1
+        for j0 in at:
+            if j0 < j:
                 continue
-            kind, k = labels[j][2:], j + 1
-            while k < len(seg) and labels[k] == f"I-{kind}":
+            j = j0
+            kind, k = LABELS[labels[j]][2:], j + 1
+            while k < len(seg) and LABELS[labels[k]] == f"I-{kind}":
                 k += 1
             a, b = seg[j][0], seg[k - 1][1]
             while b > a and not texts[i][b - 1].isalnum():
