@@ -91,8 +91,8 @@ def _occurrences(docs: DataFrame, bench: DataFrame, window: int) -> DataFrame:
     return found.join(bench, ["fp", "content"]).select("key", "start", F.lit(window).alias("len"), "item_ids")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``.
+def contamination(docs: DataFrame, benchmark: DataFrame, by_text: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``; ``by_text`` adds text_hash, xxhash64(text).
 
     A window is ``WINDOW`` consecutive words of a benchmark item, or the whole item
     if it has fewer, but not none. A document's word inside any occurrence of a
@@ -103,6 +103,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id"), words(F.col("text")).alias("ws"))
     lengths = [r[0] for r in items.where(F.size("ws").between(1, WINDOW - 1)).select(F.size("ws").alias("n")).distinct().collect()]  # at most WINDOW - 1
     key = F.struct("doc_id", F.xxhash64("text").alias("t")).alias("key")
+    named = ["key.doc_id", *([F.col("key.t").alias("text_hash")] if by_text else [])]
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(key, words(F.col("text")).alias("ws"))
     sides = []
     for window, exact in [(WINDOW, False), *((n, True) for n in sorted(lengths))]:
@@ -112,7 +113,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             sides.append((window, bench, marks, rows))
     zero, empty = F.lit(0).cast("long"), F.sha2(F.lit(""), 256)
     if not sides:
-        return keyed.select("key.doc_id", F.size("ws").cast("long").alias("n_words"), zero.alias("n_hit"), zero.alias("n_items"), empty.alias("items_sha256"), F.lit(False).alias("contaminated"))
+        return keyed.select(*named, F.size("ws").cast("long").alias("n_words"), zero.alias("n_hit"), zero.alias("n_items"), empty.alias("items_sha256"), F.lit(False).alias("contaminated"))
 
     # each row's distinct fingerprints against the benchmark's; a row that has none stays
     every = F.concat(*[_marked(prints(F.col("ws"), w), w) for w, *_ in sides])
@@ -134,7 +135,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ids = ids.agg(F.count(F.lit(1)).alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("item_id").cast("string"))), ","), 256).alias("items_sha256"))
     out = rows.join(spots.join(ids, "key"), "key", "left")
     filled = lambda c: F.coalesce(c, zero).alias(c)
-    return out.select("key.doc_id", "n_words", filled("n_hit"), filled("n_items"), F.coalesce("items_sha256", empty).alias("items_sha256"), (F.coalesce("n_items", zero) >= ITEMS).alias("contaminated"))
+    return out.select(*named, "n_words", filled("n_hit"), filled("n_items"), F.coalesce("items_sha256", empty).alias("items_sha256"), (F.coalesce("n_items", zero) >= ITEMS).alias("contaminated"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

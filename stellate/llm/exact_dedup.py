@@ -9,7 +9,7 @@ the adaptive skew join splits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, table
@@ -38,10 +38,24 @@ def exact_duplicates(docs: DataFrame, keep: str = "min") -> DataFrame:
     return rows.join(classes, ["h", "sha"]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def _row_key(doc_id: str, sha: Column) -> Column:
+    """One value for an id, which may be null, and a text."""
+    return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("none")), sha)
+
+
 def drop_exact_duplicates(docs: DataFrame, keep: str = "min") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns; one row where an id is repeated in a group."""
-    stays = exact_duplicates(docs, keep).where("kept").select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi")
+    """The rows of ``docs`` that stay, all columns: one row of each group of equal texts.
+
+    Rows are judged by (doc_id, text), so an id may be null or shared by several
+    texts. Of rows of a group that repeat the id that stays, or of a group without
+    ids, the first by its columns stays.
+    """
+    stays = exact_duplicates(docs, keep).where("kept").select(_row_key("doc_id", F.col("text_sha256")).alias("_key")).distinct()
+    norm = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
+    rows = docs.withColumn("_key", _row_key("doc_id", F.sha2(norm, 256))).join(stays, "_key", "left_semi")
+    order = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    first = F.row_number().over(Window.partitionBy("_key").orderBy(*order))
+    return rows.withColumn("_nth", first).where("_nth = 1").select(*docs.columns)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -222,20 +222,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(got)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, score, predicted), one row per row of ``docs``.
+def score(docs: DataFrame, model: Model, by_text: bool = False) -> DataFrame:
+    """(doc_id, held_out, score, predicted), one row per row of ``docs``; ``by_text`` adds text_hash, xxhash64(text).
 
     Null texts score as empty ones; a null doc_id is never held out; repeated rows
     score alike. Without labels of both kinds every score is their mean. Other
     columns are not read: a score depends on the text alone.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
+    named = ["doc_id", "text_hash"] if by_text else ["doc_id"]
 
     def run(c):
         s = shared.value.score(c["text"])
-        return {"doc_id": c["doc_id"], "held_out": [i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i in c["doc_id"]], "score": s, "predicted": (s >= 0.5).astype(np.int32)}
+        return {**{k: c[k] for k in named}, "held_out": [i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i in c["doc_id"]], "score": s, "predicted": (s >= 0.5).astype(np.int32)}
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, held_out boolean, score double, predicted int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *([F.xxhash64("text").alias("text_hash")] if by_text else []), "text")
+    return arrow_map(rows, run, ", ".join(f"{k} long" for k in named) + ", held_out boolean, score double, predicted int")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
