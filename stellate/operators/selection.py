@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,11 +13,17 @@ def project(df: DataFrame, ids: Sequence[int] | None = None) -> DataFrame:
     return df if ids is None else df.select(*[F.col(f"`{df.columns[i]}`") for i in ids])
 
 
-def visible(df: DataFrame, xmax: str = "_xmax", embedding: str | None = None) -> DataFrame:
-    """Rows that are neither deleted nor superseded, and have an embedding if a column is named."""
-    out = df.where(F.coalesce(F.col(xmax), F.lit(0)) == 0)
+def visible(df: DataFrame, xmax: str | None = None, embedding: str | None = None) -> DataFrame:
+    """Rows that no transaction has ended (``xmax`` null or 0), and that have an embedding, as far as columns are named."""
+    out = df.where(F.coalesce(F.col(xmax), F.lit(0)) == 0) if xmax else df
     return out.where(F.col(embedding).isNotNull()) if embedding else out
 
 
-def replace_column(df: DataFrame, i: int, value) -> DataFrame:
+def replace_column(df: DataFrame, i: int, value: Column) -> DataFrame:
+    """The column at ordinal ``i`` with new values, under its name."""
     return df.withColumn(df.columns[i], value)
+
+
+def cleared(df: DataFrame) -> DataFrame:
+    """No rows, the same columns."""
+    return df.limit(0)

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from stellate.sources import storage
+from stellate.sources import table as table_module
 from stellate.sources.catalog import AlreadyExists, Catalog, NotFound, Protected
 from stellate.sources.table import Table
 from stellate.sources.types import Column, schema_of, width
@@ -93,9 +95,148 @@ def test_checkpoint(spark, tmp_path):
     assert Catalog.load(spark, root).table("main", "t").scan().count() == 101
 
 
+def values(c):
+    return sorted(r.x for r in c.table("main", "t").scan().collect())
+
+
+def fresh(spark, root):
+    c = Catalog(spark, root)
+    c.create_schema("main")
+    c.create_table("main", "t", [Column("x", "INTEGER")])
+    return c
+
+
+def put(spark, c, *xs):
+    c.table("main", "t").append(spark.createDataFrame([(x,) for x in xs], "x int"))
+
+
+def test_cycles_on_one_root(spark, tmp_path):
+    root, want = str(tmp_path / "db"), []
+    c = fresh(spark, root)
+    for i in range(4):  # write, change, checkpoint, load again
+        put(spark, c, 10 * i, 10 * i + 1)
+        t = c.table("main", "t")
+        t.delete(t.current(system=True).where(f"x = {10 * i}"))
+        want.append(10 * i + 1)
+        if i == 2:
+            t.compact()
+        c.checkpoint()
+        c = Catalog.load(spark, root)
+        assert values(c) == want and c.root == root
+    c.drop_table("main", "t")
+    c.create_table("main", "t", [Column("x", "INTEGER")])
+    assert values(c) == []
+    c.checkpoint()
+    assert values(Catalog.load(spark, root)) == []
+
+
+def test_loads_do_not_disturb_each_other(spark, tmp_path):
+    root = str(tmp_path / "db")
+    c = fresh(spark, root)
+    put(spark, c, 1)
+    c.checkpoint()
+    a, b = Catalog.load(spark, root), Catalog.load(spark, root)
+    put(spark, a, 2)
+    put(spark, b, 3)
+    assert (values(a), values(b), values(Catalog.load(spark, root))) == ([1, 2], [1, 3], [1])
+    a.checkpoint()
+    assert (values(a), values(b), values(Catalog.load(spark, root))) == ([1, 2], [1, 3], [1, 2])
+    b.checkpoint()
+    assert values(Catalog.load(spark, root)) == [1, 3]
+
+
+def test_a_checkpoint_that_broke_off(spark, tmp_path):
+    root = str(tmp_path / "db")
+    c = fresh(spark, root)
+    put(spark, c, 1)
+    c.checkpoint()
+    (tmp_path / "db" / "snapshots" / "v2").write_text('{"entries": [')
+    assert Catalog.load(spark, root).active() == "v1" and values(Catalog.load(spark, root)) == [1]
+    put(spark, c, 2)
+    assert c.checkpoint() == 3 and values(Catalog.load(spark, root)) == [1, 2]
+
+
+def test_one_writer_takes_a_transaction(spark, tmp_path):
+    a, b = (ints(spark, tmp_path, 2) if k else Table(spark, str(tmp_path / "t"), schema_of([Column("c0", "INTEGER")])) for k in (1, 0))
+    taken = b._next()
+    b._next = lambda: taken  # as if it had looked before the other one wrote
+    a.append(spark.createDataFrame([(8,)], "c0 int"))
+    with pytest.raises(RuntimeError):
+        b.append(spark.createDataFrame([(9,)], "c0 int"))
+    assert sorted(r.c0 for r in a.scan().collect()) == sorted(r.c0 for r in b.scan().collect()) == [0, 1, 8]
+    (tmp_path / "t" / "log" / f"{3:012d}").write_text("")  # its writer died
+    assert a.append(spark.createDataFrame([(7,)], "c0 int")) == 4 and a.scan().count() == 4
+
+
+def test_compaction_keeps_one_generation(spark, tmp_path):
+    t = ints(spark, tmp_path, 5)
+    t.delete(t.current(system=True).where("c0 = 0"))
+    reader = t.scan()
+    t.compact()
+    assert reader.count() == 4 and t.slot_count() == 4
+    t.insert((9,))
+    t.compact()
+    t.compact()
+    assert sorted(r.c0 for r in t.scan().collect()) == [1, 2, 3, 4, 9] and len(t.records()) == 1
+    assert t.append(spark.createDataFrame([(5,)], "c0 int"), once=("s", 3)) and not t.append(spark.createDataFrame([(5,)], "c0 int"), once=("s", 3))
+    t.compact()
+    assert not t.append(spark.createDataFrame([(5,)], "c0 int"), once=("s", 2)) and t.slot_count() == 6
+
+
+@pytest.mark.parametrize("names", [0, 10**6])
+def test_current_view_sorts_nothing_wide(spark, tmp_path, monkeypatch, names):
+    monkeypatch.setattr(table_module, "NAMES", names)
+    t = ints(spark, tmp_path, 20)
+    assert "Exchange" not in t.scan()._jdf.queryExecution().executedPlan().toString()
+    at = t.current(system=True)
+    t.update(at.where("c0 < 5").unionByName(at.where("c0 < 5")).select("_batch", "_pos", (F.col("c0") + 100).alias("c0")))
+    t.update(t.current(system=True).where("c0 = 100").select("_batch", "_pos", F.lit(200).alias("c0")))
+    t.delete(t.current(system=True).where("c0 IN (101, 19)"))
+    assert sorted(r.c0 for r in t.scan().collect()) == [*range(5, 19), 102, 103, 104, 200]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = t.scan()._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortAggregate" not in plan and ("BroadcastHashJoin" in plan) == (names > 0)
+    ends = {(r.c0, r._xmin): r._xmax for r in t.history().where("NOT _deleted").collect()}
+    assert (ends[0, 1], ends[100, 2], ends[200, 3], ends[101, 2], ends[19, 1], ends[7, 1]) == (2, 3, 0, 4, 4, 0)
+
+
+def test_row_range(spark, tmp_path):
+    t = ints(spark, tmp_path, 30)
+    t.append(spark.range(30, 60).repartition(3).select(F.col("id").cast("int").alias("c0")))
+    t.delete(t.current(system=True).where("c0 < 4"))
+    every = [r.c0 for r in t.scan(ordered=True).collect()]
+    for start, n in ((0, 1), (3, 5), (20, 30), (50, 10), (56, 1), (0, 0), (0, 100)):
+        assert [r.c0 for r in t.row_range(start, n).collect()] == every[start : start + n]
+
+
+def stream(spark, src, t, checkpoint):
+    append_stream(spark.readStream.schema("c0 int").parquet(src), t, checkpoint).awaitTermination(120)
+
+
 def test_stream(spark, tmp_path):
-    src = str(tmp_path / "src")
-    spark.range(20).select(F.col("id").cast("int").alias("c0")).write.parquet(src)
+    src, checkpoint = str(tmp_path / "src"), str(tmp_path / "ck")
+    rows = spark.range(20).select(F.col("id").cast("int").alias("c0"))
+    rows.write.parquet(src)
     t = Table(spark, str(tmp_path / "s"), schema_of([Column("c0", "INTEGER")]))
-    append_stream(spark.readStream.schema("c0 int").parquet(src), t, str(tmp_path / "ck")).awaitTermination(120)
+    stream(spark, src, t, checkpoint)
+    assert sorted(r.c0 for r in t.scan().collect()) == list(range(20))
+    for f in (tmp_path / "ck" / "commits").iterdir():  # as if the stream had died after the table's commit, before its own
+        f.unlink()
+    stream(spark, src, t, checkpoint)
     assert sorted(r.c0 for r in t.scan().collect()) == list(range(20))
+    rows.limit(1).write.mode("append").parquet(src)
+    stream(spark, src, t, checkpoint)
+    assert t.scan().count() == 21
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.scratch(Session, "x")
