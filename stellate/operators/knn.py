@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.distance import METRICS, distance
+from ..sources.storage import scratch
 
-#: Query vectors that one pass over the table answers.
-BLOCK = 1024
+#: Numbers in the query vectors that one pass over the table answers (8 bytes each, broadcast).
+BLOCK = 1 << 23
+#: Distances that a task holds at once.
+_PAIRS = 1 << 22
 #: Digits that distances are rounded to before ties are broken by id.
 DIGITS = 6
 
@@ -74,73 +77,104 @@ def pairwise(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
         return np.where(den == 0, np.nan, 1 - np.clip(dot / den, -1, 1))
 
 
+def _placed(x: np.ndarray, metric: str) -> np.ndarray:
+    """Vectors as an index files them: for cosine on the unit sphere, a zero vector as it is."""
+    if metric != "cosine" or not len(x):
+        return x
+    n = np.sqrt((x**2).sum(1, keepdims=True))
+    return x / np.where(n == 0, 1, n)
+
+
+class _Best:
+    """The k nearest rows so far of each query, by (distance, id)."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.d, self.ids = k, [np.zeros(0)] * n, [np.zeros(0, np.int64)] * n
+
+    def add(self, i: int, d: np.ndarray, ids: np.ndarray) -> None:
+        if len(d) > self.k:  # NaN sorts last, and ties of the k-th stay in
+            keep = ~(d > np.partition(d, self.k - 1)[self.k - 1])
+            d, ids = d[keep], ids[keep]
+        d, ids = np.concatenate([self.d[i], d]), np.concatenate([self.ids[i], ids])
+        order = np.lexsort((ids, d))[: self.k]
+        self.d[i], self.ids[i] = d[order], ids[order]
+
+
 def knn_batch(df: DataFrame, queries: DataFrame, k: int, metric: str = "l2", vec: str = "embedding", id_col: str = "vec_id", query_id: str = "query_id", query_vec: str = "query", probe: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(query_id, id, distance, rank) of the k nearest rows of each query.
 
-    Queries are sent in blocks of ``BLOCK``; each Arrow batch of the table yields at
-    most k rows a query, so what is shuffled follows batches, not pairs. ``probe``
-    gives (queries, cells) true where a query looks into a cell of column ``_cell``.
+    Queries are broadcast in blocks of ``BLOCK`` numbers, one pass over the table
+    each; the driver holds one block, and if there are more, a block's result is
+    written before the next. A task yields at most k rows a query, so what is
+    shuffled follows tasks, not pairs. ``probe`` gives (queries, cells) true where a
+    query looks into a cell of column ``_cell``.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
+    spark = df.sparkSession
+    none = spark.createDataFrame([], f"{query_id} long, {id_col} long, distance double, rank int")
     if k <= 0:
-        return df.sparkSession.createDataFrame([], f"{query_id} long, {id_col} long, distance double, rank int")
+        return none
     rows = df.where(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), F.col(vec).alias("v"), *(["_cell"] if probe else []))
     schema = T._parse_datatype_string(f"{query_id} long, {id_col} long, distance double")
-    blocks, held = [], []
-    for r in queries.select(F.col(query_id).cast("long"), query_vec).where(F.col(query_vec).isNotNull()).toLocalIterator():
-        held.append(r)
-        if len(held) == BLOCK:
-            blocks.append(held)
-            held = []
-    blocks += [held] if held else []
 
-    def near(ids: np.ndarray, q: np.ndarray):
+    def near(ids: np.ndarray, q: np.ndarray) -> DataFrame:
         looks = probe(q) if probe else None
+        shared = spark.sparkContext.broadcast((ids, q, looks))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, q, looks = shared.value
+            best = _Best(len(q), k)
             for b in batches:
                 if not len(b):
                     continue
                 own, x = b[id_col].to_numpy(), np.stack(b["v"].to_numpy()).astype(np.float64)
-                if looks is None:
-                    d = np.round(pairwise(q, x, metric), DIGITS) + 0.0
-                    order = [np.lexsort((own, row))[:k] for row in d]
-                else:
-                    cell, d = b["_cell"].to_numpy(), np.full((len(q), len(own)), np.nan)
-                    for c in np.unique(cell):
-                        at, by = np.flatnonzero(cell == c), np.flatnonzero(looks[:, c])
-                        if len(by):
-                            d[np.ix_(by, at)] = np.round(pairwise(q[by], x[at], metric), DIGITS) + 0.0
-                    seen = [np.flatnonzero(s) for s in looks[:, cell]]
-                    order = [s[np.lexsort((own[s], row[s]))[:k]] for s, row in zip(seen, d, strict=True)]
-                yield pd.DataFrame({query_id: np.repeat(ids, [len(o) for o in order]), id_col: np.concatenate([own[o] for o in order]), "distance": np.concatenate([row[o] for row, o in zip(d, order, strict=True)])})
-
-        return run
-
-    parts = [rows.mapInPandas(near(np.array([r[0] for r in b]), np.array([list(r[1]) for r in b], np.float64)), schema) for b in blocks]
-    if not parts:
-        return df.sparkSession.createDataFrame([], f"{query_id} long, {id_col} long, distance double, rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    rank = F.row_number().over(Window.partitionBy(query_id).orderBy("distance", id_col))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+                cells = np.zeros(len(own), int) if looks is None else b["_cell"].to_numpy()
+                for c in np.unique(cells):
+                    at = np.flatnonzero(cells == c)
+                    by = np.arange(len(q)) if looks is None else np.flatnonzero(looks[:, c])
+                    step = max(1, _PAIRS // len(at))
+                    for lo in range(0, len(by), step):
+                        d = np.round(pairwise(q[by[lo : lo + step]], x[at], metric), DIGITS) + 0.0
+                        for i, row in zip(by[lo : lo + step].tolist(), d, strict=True):
+                            best.add(i, row, own[at])
+            yield pd.DataFrame({query_id: np.repeat(ids, [len(x) for x in best.ids]), id_col: np.concatenate([np.zeros(0, np.int64), *best.ids]), "distance": np.concatenate([np.zeros(0), *best.d])})
+
+        rank = F.row_number().over(Window.partitionBy(query_id).orderBy("distance", id_col))
+        return rows.mapInPandas(run, schema).withColumn("rank", rank).where(F.col("rank") <= k)
+
+    held, numbers, path = [], 0, None
+    for r in queries.select(F.col(query_id).cast("long"), query_vec).where(F.col(query_vec).isNotNull()).toLocalIterator():
+        if held and numbers + len(r[1]) > BLOCK:
+            path = path or scratch(spark, "nearest")
+            near(np.array([i for i, _ in held]), np.stack([v for _, v in held])).write.mode("append").parquet(path)
+            held, numbers = [], 0
+        held.append((r[0], np.array(r[1], np.float64)))
+        numbers += len(r[1])
+    if not held:
+        return none
+    last = near(np.array([i for i, _ in held]), np.stack([v for _, v in held]))
+    return last if path is None else spark.read.schema(last.schema).parquet(path).unionByName(last)
 
 
 class VectorIndex:
     """Flat (exact) or IVF (approximate) index over a table of vectors.
 
     IVF: centroids by k-means on a bounded sample (``SAMPLE`` rows); every row is
-    filed in its nearest cell. A search reads the ``nprobe`` nearest cells only; the
-    defaults are set by the recall measured on embeddings without clear clusters.
+    filed in its nearest cell. A search reads the ``nprobe`` nearest cells only,
+    nearest under the index's metric (for cosine, cells are those of unit vectors);
+    the defaults are set by the recall measured on embeddings without clear clusters.
+    Graph kinds (hnsw, diskann) search exactly: their graphs approximate just that,
+    and have no form in Spark.
     """
 
     SAMPLE = 20_000
 
     def __init__(self, kind: str = "flat", metric: str = "l2", cells: int = 16, nprobe: int = 12, vec: str = "embedding", id_col: str = "vec_id"):
-        if kind not in ("flat", "ivf"):
-            raise NotImplementedError(f"index kind {kind!r}: graph indexes have no form in Spark; use flat or ivf")
+        if kind not in ("flat", "ivf", "hnsw", "diskann"):
+            raise ValueError(f"unknown index kind {kind!r}")
+        if metric not in METRICS:
+            raise ValueError(f"unknown metric {metric!r}; one of {', '.join(METRICS)}")
         self.kind, self.metric, self.cells, self.nprobe, self.vec, self.id_col = kind, metric, cells, nprobe, vec, id_col
         self.rows: DataFrame | None = None
         self.centroids: np.ndarray | None = None
@@ -149,7 +183,7 @@ class VectorIndex:
         rows = df.where(F.col(self.vec).isNotNull())
         if self.kind == "ivf":
             some = rows.orderBy(F.xxhash64(self.id_col)).limit(self.SAMPLE).select(self.vec).collect()
-            x = np.array([list(r[0]) for r in some], np.float64)
+            x = _placed(np.array([list(r[0]) for r in some], np.float64), self.metric)
             self.centroids = self._means(x, rounds) if len(x) else np.zeros((0, 0))
             rows = self._file(rows)
         self.rows = rows
@@ -164,11 +198,11 @@ class VectorIndex:
         return c
 
     def _file(self, rows: DataFrame) -> DataFrame:
-        c = self.centroids
+        c, metric = self.centroids, self.metric
 
         @F.pandas_udf("int")
         def cell(v: pd.Series) -> pd.Series:
-            return pd.Series(pairwise(c, np.stack(v.to_numpy()).astype(np.float64), "l2_squared").argmin(0) if len(v) else [])
+            return pd.Series(pairwise(c, _placed(np.stack(v.to_numpy()).astype(np.float64), metric), "l2_squared").argmin(0) if len(v) else [])
 
         return rows.withColumn("_cell", cell(self.vec))
 
@@ -191,7 +225,8 @@ class VectorIndex:
     def _probe(self, q: np.ndarray) -> np.ndarray:
         """(queries, cells): true for the ``nprobe`` nearest cells."""
         out = np.zeros((len(q), len(self.centroids)), bool)
-        np.put_along_axis(out, pairwise(q, self.centroids, "l2_squared").argsort(1)[:, : self.nprobe], True, 1)
+        metric = self.metric if self.metric in ("inner_product", "l1") else "l2_squared"
+        np.put_along_axis(out, pairwise(_placed(q, self.metric), self.centroids, metric).argsort(1)[:, : self.nprobe], True, 1)
         return out
 
     def search_batch(self, queries: DataFrame, k: int) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stellate.functions import distance as D
+from stellate.operators import knn as knn_module
 from stellate.operators.knn import VectorIndex, VectorQuery, knn, knn_batch, pairwise
 
 
@@ -77,5 +78,33 @@ def test_indexes(spark, tmp_path):
         hit += len(want & {r.vec_id for r in ivf.search(x[i].tolist(), 10).collect()})
     assert hit >= 0.9 * 100
     assert flat.remove(df.where("vec_id = 0")).search(x[0].tolist(), 1).first().vec_id != 0
-    with pytest.raises(NotImplementedError):
-        VectorIndex("hnsw")
+    graph = VectorIndex("diskann").build(df).remove(df.where("vec_id = 0")).insert(df.where("vec_id = 0"))
+    assert [r.vec_id for r in graph.search(x[0].tolist(), 10, labels=[1, 2]).collect()] == [r.vec_id for r in flat.search(x[0].tolist(), 10, labels=[1, 2]).collect()]
+    with pytest.raises(ValueError):
+        VectorIndex("tree")
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "inner_product", "l1"])
+def test_cells_follow_the_metric(spark, sf, metric):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    e = e.withColumn("embedding", F.transform("embedding", lambda x: (x * (1 + F.col("vec_id") % 7)).cast("float")))  # lengths differ
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    got, want = ({(r.query_id, r.vec_id) for r in VectorIndex(kind, metric).build(e).search_batch(q, 10).collect()} for kind in ("ivf", "flat"))
+    assert len(want & got) >= 0.9 * len(want)
+
+
+def test_query_blocks_and_small_batches(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(200, 4)), 1).astype(np.float32)  # with ties
+    x[7] = np.nan
+    df = frame(spark, x.tolist()).repartition(3)
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(30)], "query_id long, query array<float>").orderBy("query_id")
+    want = knn_batch(df, q, 6).collect()
+    monkeypatch.setattr(knn_module, "BLOCK", 4 * 7)
+    monkeypatch.setattr(knn_module, "_PAIRS", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        rows = knn_batch(df, q, 6)
+        assert sorted(map(repr, rows.collect())) == sorted(map(repr, want)) and len(want) == 180
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
