@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +12,9 @@ from ..functions import distance as D
 from ..functions import hashing as H
 from ..functions import maps as M
 from ..operators import knn as K
-from ..operators.selection import project
-from ..sources.catalog import Catalog
+from ..operators.selection import cleared, project, replace_column
+from ..sources.catalog import AlreadyExists, Catalog, NotFound, Protected
+from ..sources.storage import scratch
 from ..sources.table import Table
 from ..sources.types import Column as Col
 from ..sources.types import schema_of
@@ -45,13 +45,6 @@ def r6(c: Column) -> Column:
     return F.round(c, 6) + F.lit(0.0)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
-    import uuid
-
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # -- distances and nearest neighbours -----------------------------------------
 _Q = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
 _E = "embedding::DOUBLE[]"
@@ -87,6 +80,8 @@ _add("knn_skip_null_embedding", knn_sql("l2", 10, "vec_id % 5 <> 0 OR vec_id = 0
 _add("knn_label_filter", knn_sql("l2", 10, "label IN (1, 3)"), nearest("l2", 10, labels=(1, 3)))
 _add("flat_index", knn_sql("cosine", 10), lambda s, d: K.VectorIndex("flat", "cosine").build(emb(s, d)).search(query_vector(s, d), 10).select("vec_id", "label", "distance"))
 
+_add("graph_index", knn_sql("inner_product", 10, "label IN (1, 3)"), lambda s, d: K.VectorIndex("diskann", "inner_product").build(emb(s, d)).search(query_vector(s, d), 10, labels=(1, 3)).select("vec_id", "label", "distance"))
+
 
 def _skip_deleted(spark, sf):
     t = Table(spark, scratch(spark, "skip-deleted"), schema_of([Col("vec_id", "BIGINT"), Col("embedding", "VECTOR", 64), Col("label", "INTEGER")]), "embedding")
@@ -128,6 +123,8 @@ _add("vec_zero_cosine", "SELECT vec_id, true AS is_nan FROM embeddings", lambda
 _add("project_subset", "SELECT c_custkey, c_acctbal FROM customer", lambda s, d: project(load(s, d, "customer"), [0, 3]))
 _add("project_reverse", "SELECT c_mktsegment, c_acctbal, c_nationkey, c_name, c_custkey FROM customer", lambda s, d: project(load(s, d, "customer"), [4, 3, 2, 1, 0]))
 _add("scan_all", "SELECT * FROM lineitem", lambda s, d: project(load(s, d, "lineitem")))
+_add("column_replace", "SELECT c_custkey, c_name, c_nationkey, -c_acctbal AS c_acctbal, c_mktsegment FROM customer", lambda s, d: replace_column(load(s, d, "customer"), 3, -F.col("c_acctbal")))
+_add("batch_clear", "SELECT * FROM customer WHERE false", lambda s, d: cleared(load(s, d, "customer")))
 _add("point_lookup", "SELECT * FROM customer WHERE c_custkey = 42", lambda s, d: load(s, d, "customer").where("c_custkey = 42"))
 
 # -- arrays ---------------------------------------------------------------------
@@ -201,7 +198,38 @@ _add(
     "SELECT c_custkey, list_reduce(list_transform(string_split(c_name, ''), lambda c: ascii(c)::BIGINT), lambda h, b: (h * 33 + b) % 4294967296, 5381::BIGINT) AS h FROM customer",
     lambda s, d: load(s, d, "customer").select("c_custkey", H.djb2("c_name").alias("h")),
 )
-_add("hash_block_checksum", None, lambda s, d: load(s, d, "customer").groupBy("c_nationkey").agg(H.block_checksum(F.sort_array(F.collect_list("c_custkey"))).alias("checksum")))
+#: CTEs: x is the finaliser of h, a column of a.
+_MURMUR = """b AS (SELECT *, xor(h, h >> 16) AS x FROM a), c AS (SELECT * EXCLUDE (x), (x * 2246822507) % 4294967296 AS x FROM b),
+d AS (SELECT * EXCLUDE (x), xor(x, x >> 13) AS x FROM c), e AS (SELECT * EXCLUDE (x), (x * 3266489909) % 4294967296 AS x FROM d),
+f AS (SELECT * EXCLUDE (x), xor(x, x >> 16)::BIGINT AS x FROM e)"""
+_add(
+    "hash_block_checksum",
+    f"WITH a AS (SELECT c_nationkey, (c_custkey & 4294967295)::UHUGEINT AS h FROM customer), {_MURMUR} SELECT c_nationkey, xor(5381, bit_xor(x)) AS checksum FROM f GROUP BY c_nationkey",
+    lambda s, d: load(s, d, "customer").groupBy("c_nationkey").agg(H.block_checksum_agg("c_custkey").alias("checksum")),
+)
+_add(
+    "hash_buffer_checksum",
+    f"""WITH w AS (SELECT c_custkey, c_name, unnest(range(0, length(c_name) // 8)) * 8 AS i FROM customer),
+a AS (SELECT c_custkey, (ascii(c_name[i + 1]) + 256 * ascii(c_name[i + 2]) + 65536 * ascii(c_name[i + 3]) + 16777216 * ascii(c_name[i + 4])::BIGINT)::UHUGEINT AS h FROM w), {_MURMUR},
+t AS (SELECT c_custkey, c_name[length(c_name) // 8 * 8 + 1:] AS rest FROM customer),
+u AS (SELECT c_custkey, CASE WHEN rest = '' THEN 0 ELSE list_reduce(list_transform(string_split(rest, ''), lambda c: ascii(c)::BIGINT), lambda h, b: h * 33 + b, 5381::BIGINT) END AS tail FROM t)
+SELECT c_custkey, xor(xor(5381, bit_xor(x)), any_value(tail)) AS checksum FROM f JOIN u USING (c_custkey) GROUP BY c_custkey""",
+    lambda s, d: load(s, d, "customer").select("c_custkey", H.buffer_checksum("c_name").alias("checksum")),
+)
+_add(
+    "hash_murmur64",
+    """WITH a AS (SELECT c_custkey, ((c_custkey::HUGEINT * 1000003000017 % 18446744073709551616)::UHUGEINT) AS h FROM customer),
+b AS (SELECT c_custkey, (xor(h, h >> 30) * 13787848793156543929) % 18446744073709551616 AS h FROM a),
+c AS (SELECT c_custkey, (xor(h, h >> 27) * 10723151780598845931) % 18446744073709551616 AS h FROM b),
+d AS (SELECT c_custkey, xor(h, h >> 31) AS h FROM c)
+SELECT c_custkey, CASE WHEN h >= 9223372036854775808 THEN (h::HUGEINT - 18446744073709551616)::BIGINT ELSE h::BIGINT END AS h FROM d""",
+    lambda s, d: load(s, d, "customer").select("c_custkey", H.murmur64(F.col("c_custkey") * 1000003000017).alias("h")),
+)
+_add(
+    "key_equals",
+    "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_nationkey END IS NOT DISTINCT FROM CASE WHEN c_custkey % 2 <> 0 THEN 7 END AS same FROM customer",
+    lambda s, d: load(s, d, "customer").select("c_custkey", H.key_equals(F.when(F.col("c_custkey") % 3 != 0, F.col("c_nationkey")), F.when(F.col("c_custkey") % 2 != 0, F.lit(7))).alias("same")),
+)
 
 # -- versions, payloads, catalog ---------------------------------------------------
 _ORDERS = [Col("o_orderkey", "BIGINT"), Col("o_custkey", "BIGINT"), Col("o_totalprice", "DOUBLE")]
@@ -225,7 +253,36 @@ _add(
 UNION ALL SELECT o_orderkey, 2::BIGINT, (CASE WHEN {_SEVEN} THEN 3 ELSE 0 END)::BIGINT, o_totalprice + 1 FROM orders WHERE {_FIVE}""",
     lambda s, d: versioned(s, d).history().where("NOT _deleted").select("o_orderkey", F.col("_xmin").alias("xmin"), F.col("_xmax").cast("long").alias("xmax"), "o_totalprice"),
 )
-_add("mvcc_get", f"SELECT o_orderkey, {_PRICE} FROM orders WHERE o_orderkey IN (5, 6) AND NOT {_SEVEN}", lambda s, d: (lambda t: t.current(system=True).join(t.versions().where("_xmin = 1 AND o_orderkey IN (5, 6, 7)").select("_batch", "_pos"), ["_batch", "_pos"], "left_semi").select("o_orderkey", "o_totalprice"))(versioned(s, d)))
+
+
+def _get(spark, sf):
+    """The latest versions of three rows, one of which is deleted, each by its name."""
+    t = versioned(spark, sf)
+    names = t.versions().where("_xmin = 1 AND o_orderkey IN (5, 6, 7)").select("_batch", "_pos").collect()
+    found = [t.get(r._batch, r._pos).select("o_orderkey", "o_totalprice") for r in names]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+_add("mvcc_get", f"SELECT o_orderkey, {_PRICE} FROM orders WHERE o_orderkey IN (5, 6) AND NOT {_SEVEN}", _get)
+
+
+def _get_version(spark, sf):
+    t = versioned(spark, sf)
+    r = t.versions().where("_xmin = 1 AND o_orderkey = 5").first()
+    return t.get_version(r._batch, r._pos, 1).unionByName(t.get_version(r._batch, r._pos, 2)).select("o_orderkey", F.col("_xmin").alias("xmin"), "o_totalprice")
+
+
+_add("mvcc_get_version", "SELECT o_orderkey, 1::BIGINT AS xmin, o_totalprice FROM orders WHERE o_orderkey = 5 UNION ALL SELECT o_orderkey, 2::BIGINT, o_totalprice + 1 FROM orders WHERE o_orderkey = 5", _get_version)
+
+
+def _vacuum(spark, sf):
+    t = versioned(spark, sf)
+    before = t.slot_count()
+    t.compact()
+    return t.scan().withColumn("freed", F.lit(before - t.slot_count()).cast("long"))
+
+
+_add("vacuum", f"SELECT o_orderkey, o_custkey, {_PRICE}, (SELECT count(*) FILTER (WHERE {_FIVE}) + count(*) FILTER (WHERE {_SEVEN}) FROM orders) AS freed FROM orders WHERE NOT {_SEVEN}", _vacuum)
 _add("slot_count", f"SELECT count(*) + count(*) FILTER (WHERE {_FIVE}) AS n FROM orders", lambda s, d: s.createDataFrame([(versioned(s, d).slot_count(),)], "n long"))
 
 _PAYLOAD = [Col("k", "BIGINT"), Col("b", "BOOLEAN"), Col("i", "INTEGER"), Col("f", "FLOAT"), Col("d", "DOUBLE"), Col("t", "VARCHAR")]
@@ -242,7 +299,39 @@ def _payload(spark, sf):
 _add("payload_types", "SELECT c_custkey AS k, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal > 0 END AS b, CASE WHEN c_custkey % 3 <> 0 THEN c_nationkey END AS i, CASE WHEN c_custkey % 3 <> 0 THEN (c_custkey / 4)::FLOAT END AS f, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS d, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS t FROM customer", _payload)
 _add("json_payload", "SELECT event_id, (props->>'$.k')::VARCHAR AS k FROM events", lambda s, d: load(s, d, "events").select("event_id", F.variant_get(F.parse_json("props"), "$.k", "string").alias("k")))
 _add("missing_payload_null", "SELECT c_custkey AS k, NULL::DOUBLE AS d FROM customer", lambda s, d: (lambda t: (t.append(load(s, d, "customer").select(F.col("c_custkey").alias("k"))), t.scan([0, 1]))[1])(Table(s, scratch(s, "missing"), schema_of([Col("k", "BIGINT"), Col("d", "DOUBLE")]))))
-_add("ordered_scan", "SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1)::BIGINT AS at FROM customer", lambda s, d: (lambda t: (t.append(load(s, d, "customer").select("c_custkey").orderBy("c_custkey").coalesce(1)), t.current(system=True).select("c_custkey", F.col("_pos").alias("at")))[1])(Table(s, scratch(s, "ordered"), schema_of([Col("c_custkey", "BIGINT")]))))
+
+
+def _customers(spark, sf) -> Table:
+    """Two batches, each in the order of c_custkey: the even keys, then the odd ones."""
+    t, c = Table(spark, scratch(spark, "ordered"), schema_of([Col("c_custkey", "BIGINT"), Col("c_acctbal", "DOUBLE")])), load(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    for rest in (0, 1):
+        t.append(c.where(F.col("c_custkey") % 2 == rest).orderBy("c_custkey"))
+    return t
+
+
+_NUMBERED = "SELECT c_custkey, c_acctbal, (row_number() OVER (ORDER BY c_custkey % 2, c_custkey) - 1)::BIGINT AS nr FROM customer"
+
+
+def _ordered(spark, sf):
+    """Numbers the rows in the order in which the scan hands them on."""
+    rows = _customers(spark, sf).scan([0], ordered=True)
+    first = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # one a partition
+    before = {r.part: sum(x.n for x in first if x.part < r.part) for r in first}
+    start = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.spark_partition_id()) if before else F.lit(0)
+    return rows.select("c_custkey", (start + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias("nr"))
+
+
+def _in_batches(spark, sf):
+    at, rows = 0, []
+    for b in _customers(spark, sf).batches([0]):
+        rows.append((at, b.num_rows, b.column(0)[0].as_py(), b.column(0)[-1].as_py()))
+        at += 1
+    return spark.createDataFrame(rows, "batch long, n long, first long, last long")
+
+
+_add("ordered_scan", f"SELECT c_custkey, nr FROM ({_NUMBERED})", _ordered)
+_add("batch_scan", f"SELECT nr // 50 AS batch, count(*)::BIGINT AS n, arg_min(c_custkey, nr) AS first, arg_max(c_custkey, nr) AS last FROM ({_NUMBERED}) GROUP BY nr // 50", _in_batches)
+_add("row_range", f"SELECT c_custkey, c_acctbal FROM ({_NUMBERED}) WHERE nr BETWEEN 70 AND 79", lambda s, d: _customers(s, d).row_range(70, 10))
 
 
 def catalog(spark) -> Catalog:
@@ -272,3 +361,62 @@ def _roundtrip(spark, sf):
 
 
 _add("checkpoint_roundtrip", "SELECT r_regionkey::INTEGER AS r_regionkey, r_name FROM region", _roundtrip)
+
+
+def _codes(spark, sf):
+    """What each catalog call answers: its number or the error's code."""
+
+    def code(call) -> int:
+        try:
+            return int(call())
+        except (AlreadyExists, NotFound, Protected) as e:
+            return e.code
+
+    c, x = catalog(spark), [Col("x", "INTEGER")]
+    calls = {
+        "create_schema": lambda: c.create_schema("more"),
+        "create_schema again": lambda: c.create_schema("more"),
+        "create_schema if_not_exists": lambda: c.create_schema("more", if_not_exists=True),
+        "has_schema": lambda: c.has_schema("more"),
+        "has_schema missing": lambda: c.has_schema("never"),
+        "create_table": lambda: c.create_table("more", "region", x),
+        "create_table again": lambda: c.create_table("more", "region", x),
+        "create_table if_not_exists": lambda: c.create_table("more", "region", x, if_not_exists=True),
+        "create_table no schema": lambda: c.create_table("never", "region", x),
+        "get_table": lambda: c.table("more", "region") is not None,
+        "get_table of the same name": lambda: c.types("main", "region") != c.types("more", "region"),
+        "get_table missing": lambda: c.table("more", "never") is not None,
+        "drop_table": lambda: c.drop_table("more", "region"),
+        "get_table dropped": lambda: c.table("more", "region") is not None,
+        "drop_schema": lambda: c.drop_schema("more"),
+        "drop_schema missing": lambda: c.drop_schema("never"),
+        "drop_schema default": lambda: c.drop_schema("main"),
+        "has_schema dropped": lambda: c.has_schema("more"),
+        "tables": lambda: c.count("table", "public"),
+    }
+    return spark.createDataFrame([(k, code(f)) for k, f in calls.items()], "call string, code int")
+
+
+_add(
+    "catalog_codes",
+    """SELECT * FROM (VALUES ('create_schema', 0), ('create_schema again', -2), ('create_schema if_not_exists', 0), ('has_schema', 1), ('has_schema missing', 0),
+('create_table', 0), ('create_table again', -2), ('create_table if_not_exists', 0), ('create_table no schema', -1), ('get_table', 1), ('get_table of the same name', 1),
+('get_table missing', 0), ('drop_table', 1), ('get_table dropped', 0), ('drop_schema', 0), ('drop_schema missing', 0), ('drop_schema default', -1), ('has_schema dropped', 0), ('tables', 1)) AS t(call, code)""",
+    _codes,
+)
+
+
+def _two_cycles(spark, sf):
+    """Write, checkpoint, load; write, checkpoint, load: on one root. What comes after a checkpoint is lost with its catalog."""
+    region = load(spark, sf, "region").select(F.col("r_regionkey").cast("int").alias("r_regionkey"), "r_name")
+    c = catalog(spark)
+    c.table("main", "region").append(region.where("r_regionkey < 2"))
+    c.checkpoint()
+    c.table("main", "region").append(region.where("r_regionkey = 2"))
+    c = Catalog.load(spark, c.root)
+    c.table("main", "region").append(region.where("r_regionkey > 2"))
+    c.checkpoint()
+    return Catalog.load(spark, c.root).table("main", "region").scan()
+
+
+_add("checkpoint_two_cycles", "SELECT r_regionkey::INTEGER AS r_regionkey, r_name FROM region WHERE r_regionkey <> 2", _two_cycles)
