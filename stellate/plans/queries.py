@@ -18,6 +18,7 @@ from ..sources.storage import scratch
 from ..sources.table import Table
 from ..sources.types import Column as Col
 from ..sources.types import schema_of
+from ..streaming.append import append_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -285,6 +286,48 @@ def _vacuum(spark, sf):
 _add("vacuum", f"SELECT o_orderkey, o_custkey, {_PRICE}, (SELECT count(*) FILTER (WHERE {_FIVE}) + count(*) FILTER (WHERE {_SEVEN}) FROM orders) AS freed FROM orders WHERE NOT {_SEVEN}", _vacuum)
 _add("slot_count", f"SELECT count(*) + count(*) FILTER (WHERE {_FIVE}) AS n FROM orders", lambda s, d: s.createDataFrame([(versioned(s, d).slot_count(),)], "n long"))
 
+_add(
+    "transactions",
+    f"SELECT 1::BIGINT AS txn, 'append' AS kind, count(*) AS n FROM orders UNION ALL SELECT 2, 'update', count(*) FROM orders WHERE {_FIVE} UNION ALL SELECT 3, 'delete', count(*) FROM orders WHERE {_SEVEN}",
+    lambda s, d: s.createDataFrame([(r["txn"], r["kind"], r["rows"]) for r in versioned(s, d).records()], "txn long, kind string, n long"),
+)
+
+
+def _embedding_get(spark, sf):
+    """One row of an embedding table by its name."""
+    t = Table(spark, scratch(spark, "by-name"), schema_of([Col("vec_id", "BIGINT"), Col("embedding", "VECTOR", 64)]), "embedding")
+    t.append(emb(spark, sf).select("vec_id", "embedding"))
+    r = t.current(system=True).where("vec_id = 7").select("_batch", "_pos").first()
+    return t.get(r._batch, r._pos).select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", "i", r6(F.col("x").cast("double")).alias("x"))
+
+
+_add("embedding_get", "SELECT vec_id, i::INTEGER AS i, round(embedding[i + 1]::DOUBLE, 6) + 0.0::DOUBLE AS x FROM (SELECT vec_id, embedding, unnest(range(64)) AS i FROM embeddings WHERE vec_id = 7)", _embedding_get)
+
+
+def _cast(spark, sf):
+    """Values are cast to the declared types."""
+    t = Table(spark, scratch(spark, "cast"), schema_of([Col("k", "INTEGER"), Col("d", "DOUBLE"), Col("t", "VARCHAR"), Col("s", "SMALLINT")]), "column")
+    c = load(spark, sf, "customer")
+    t.append(c.select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("d"), F.col("c_custkey").alias("t"), F.col("c_nationkey").alias("s")))
+    return t.scan()
+
+
+_add("append_casts", "SELECT c_custkey::INTEGER AS k, c_nationkey::DOUBLE AS d, c_custkey::VARCHAR AS t, c_nationkey::SMALLINT AS s FROM customer", _cast)
+
+
+def _streamed(spark, sf):
+    """A stream of files, appended twice from one checkpoint: the second time finds nothing new."""
+    rows = load(spark, sf, "events").select("event_id", "user_id")
+    t = Table(spark, scratch(spark, "streamed"), schema_of([Col("event_id", "BIGINT"), Col("user_id", "BIGINT")]))
+    source, checkpoint = scratch(spark, "stream-source"), scratch(spark, "stream-checkpoint")
+    rows.write.parquet(source)
+    for _ in range(2):
+        append_stream(spark.readStream.schema(rows.schema).parquet(source), t, checkpoint).awaitTermination()
+    return t.scan()
+
+
+_add("stream_append", "SELECT event_id::BIGINT AS event_id, user_id::BIGINT AS user_id FROM events", _streamed)
+
 _PAYLOAD = [Col("k", "BIGINT"), Col("b", "BOOLEAN"), Col("i", "INTEGER"), Col("f", "FLOAT"), Col("d", "DOUBLE"), Col("t", "VARCHAR")]
 
 
