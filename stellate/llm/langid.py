@@ -15,7 +15,7 @@ Evidence that is missing (null address, no markup) contributes nothing.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +25,8 @@ from .common import arrow_map, materialize, table
 
 #: Rows with a known language that the models are fitted on at most.
 SAMPLE = 3000
+#: Hosts and domains up to which number their counts are broadcast.
+HOSTS = 200_000
 BUCKETS = 1 << 14
 TEMPER, BOUND = 0.02, 40.0
 #: Share of wrong declarations; weights of the parent's prior, in rows.
@@ -43,10 +45,55 @@ def _codes(b: bytes):
         yield (h * np.uint32(2654435761)) >> np.uint32(18)
 
 
+_OPEN = re.compile(r"<(?:(script|style)\b|!--)", re.I)
+_CLOSE = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style")}
+_HTML = re.compile(r"<html(?=\s)", re.I)
+_LANG = re.compile(r"\slang\s*=\s*[\"']?([A-Za-z]{2})", re.I)
+
+
+def _blocks(t: str) -> Iterator[tuple[int, int]]:
+    """Scripts, styles and comments that are closed. What isn't closed once isn't closed later either, so the scan is linear."""
+    at, dead = 0, set()
+    while m := _OPEN.search(t, at):
+        kind, at = (m[1] or "").lower(), m.end()
+        if kind in dead:
+            continue
+        if kind:
+            start = t.find(">", m.end())
+            close = _CLOSE[kind].search(t, start + 1) if start >= 0 else None
+            end = close.end() if close else -1
+        else:
+            found = t.find("-->", m.end())
+            end = found + 3 if found >= 0 else -1
+        if end < 0:
+            dead.add(kind)
+        else:
+            yield m.start(), end
+            at = end
+
+
 def visible(html: str | None) -> str:
-    """Text of a page without scripts, styles, comments and tags."""
-    t = re.sub(r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " ", html or "")
-    return re.sub(r"<[^>]*>", " ", t)
+    """Text of a page without scripts, styles, comments and tags, each of which leaves a space."""
+    t, out, at = html or "", [], 0
+    for lo, hi in _blocks(t):
+        out.append(t[at:lo])
+        at = hi
+    t, out, at = " ".join([*out, t[at:]]), [], 0
+    while (lo := t.find("<", at)) >= 0 and (hi := t.find(">", lo)) >= 0:
+        out.append(t[at:lo])
+        at = hi + 1
+    return " ".join([*out, t[at:]])
+
+
+def declared_language(html: str | None) -> str | None:
+    """Of the first html tag with a language, anywhere in the page; an unclosed tag ends at the next one or the page's end."""
+    t = html or ""
+    starts = [m.start() for m in _HTML.finditer(t)]
+    for lo, until in zip(starts, [*starts[1:], len(t)]):
+        end = t.find(">", lo, until)
+        if m := _LANG.search(t, lo, until if end < 0 else end):
+            return m[1].lower()
+    return None
 
 
 class TextModel:
@@ -71,11 +118,12 @@ class TextModel:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> TextModel:
-    """On at most ``sample`` rows with a language, smallest by a hash of doc_id; rows with crc32(doc_id) mod 5 = 0 are held out."""
+    """On at most ``sample`` different rows with a language, smallest by a hash of doc_id; rows with crc32(doc_id) mod 5 = 0 are held out."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    ids = known.select("doc_id", "lang").orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id", "lang").limit(sample)
-    rows = known.select("doc_id", "text", "lang").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")  # at most `sample` ids
-    return TextModel((r.text, r.lang) for r in rows.orderBy("doc_id", "text").toLocalIterator())
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("text").alias("h"), "text")
+    ids = known.select("doc_id", "lang", "h").distinct().orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id", "lang", "h").limit(sample)
+    rows = known.join(F.broadcast(ids), ["doc_id", "lang", "h"], "left_semi").distinct()  # at most `sample` rows
+    return TextModel((r.text, r.lang) for r in rows.orderBy("doc_id", "lang", "h").toLocalIterator())
 
 
 def _host(url: str) -> Column:
@@ -83,17 +131,15 @@ def _host(url: str) -> Column:
 
 
 def rows_of(docs: DataFrame | None, pages: DataFrame | None) -> DataFrame:
-    """(kind, doc_id, page_id, host, domain, declared, suffix, path, content): both tables in one form. A document's host is its source."""
+    """(kind, doc_id, page_id, host, domain, suffix, path, content): both tables in one form. A document's host is its source."""
     parts = []
     null = lambda t: F.lit(None).cast(t)
     if docs is not None:
         source = F.col("source").cast("string")
-        parts.append(docs.select(F.lit("document").alias("kind"), F.col("doc_id").cast("long").alias("doc_id"), null("long").alias("page_id"), source.alias("host"), source.alias("domain"), null("string").alias("declared"), null("string").alias("suffix"), null("string").alias("path"), F.col("text").alias("content")))
+        parts.append(docs.select(F.lit("document").alias("kind"), F.col("doc_id").cast("long").alias("doc_id"), null("long").alias("page_id"), source.alias("host"), source.alias("domain"), null("string").alias("suffix"), null("string").alias("path"), F.col("text").alias("content")))
     if pages is not None:
         host = F.when(F.length(_host("url")) > 0, _host("url"))
-        # the first html tag with a language, anywhere in the page; an unclosed tag ends at the next one, so the scan stays linear
-        declared = F.lower(F.regexp_extract("html", r"(?i)<html(?=\s)(?:(?!<html\s)[^>])*?\slang\s*=\s*[\"']?([A-Za-z]{2})", 1))
-        parts.append(pages.select(F.lit("page").alias("kind"), null("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), host.alias("host"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"), F.nullif(declared, F.lit("")).alias("declared"), F.regexp_extract(host, r"\.([a-z]+)$", 1).alias("suffix"), F.lower(F.regexp_extract("url", r"://[^/]+/([A-Za-z]{2})(?:/|$)", 1)).alias("path"), F.col("html").alias("content")))
+        parts.append(pages.select(F.lit("page").alias("kind"), null("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), host.alias("host"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"), F.regexp_extract(host, r"\.([a-z]+)$", 1).alias("suffix"), F.lower(F.regexp_extract("url", r"://[^/]+/([A-Za-z]{2})(?:/|$)", 1)).alias("path"), F.col("html").alias("content")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -108,14 +154,16 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
     single row of known language the result's lang is null.
     """
     langs = model.langs
-    if not langs:
-        return rows.select("kind", "doc_id", "page_id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_lang"), "declared")
     shared = rows.sparkSession.sparkContext.broadcast(model)  # languages x BUCKETS
 
     def run(c):
-        m, out = shared.value, {k: c[k] for k in ("kind", "doc_id", "page_id", "host", "domain", "declared")}
-        out |= {"ev": [], "own": [], "text_lang": []}
-        for kind, declared, suffix, path, content in zip(c["kind"], c["declared"], c["suffix"], c["path"], c["content"], strict=True):
+        m, out = shared.value, {k: c[k] for k in ("kind", "doc_id", "page_id", "host", "domain")}
+        out |= {"declared": [declared_language(x) if kind == "page" else None for kind, x in zip(c["kind"], c["content"], strict=True)], "ev": [], "own": [], "text_lang": []}
+        for kind, declared, suffix, path, content in zip(c["kind"], out["declared"], c["suffix"], c["path"], c["content"], strict=True):
+            if not langs:
+                for k in ("ev", "own", "text_lang"):
+                    out[k].append(None)
+                continue
             text = m.loglik(visible(content) if kind == "page" else content)
             ev = np.array(text)
             for name, said in (("markup", declared), ("suffix", SUFFIXES.get(suffix)), ("path", path)):
@@ -129,11 +177,16 @@ def identify(rows: DataFrame, model: TextModel) -> DataFrame:
         return out
 
     seen = arrow_map(rows, run, "kind string, doc_id long, page_id long, host string, domain string, declared string, ev array<double>, own array<double>, text_lang string")
+    if not langs:
+        return seen.select("kind", "doc_id", "page_id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), "text_lang", "declared")
     seen = materialize(seen, "evidence")
     k = range(len(langs))
     sums = lambda by, name: seen.groupBy(*by).agg(F.array(*[F.sum(F.get("own", i)) for i in k]).alias(name))
     everywhere = [float(x or 0) for x in (sums([], "n").first()[0] or [0.0] * len(langs))]  # one number a language
-    joined = seen.join(sums(["kind", "host", "domain"], "hn"), ["kind", "host", "domain"], "left").join(sums(["kind", "domain"], "dn"), ["kind", "domain"], "left")
+    joined = seen
+    for by, name in ((["kind", "host", "domain"], "hn"), (["kind", "domain"], "dn")):
+        counts = materialize(sums(by, name), name)  # written, so that a shuffled join can split a host with very many rows
+        joined = joined.join(F.broadcast(counts) if counts.count() <= HOSTS else counts, by, "left")
     top = (np.array(everywhere) + 1) / (sum(everywhere) + len(langs))
 
     def fuse(c):
