@@ -22,7 +22,7 @@ _PAIRS = 1 << 22
 DIGITS = 6
 
 
-#: A top-k keeps a heap of k rows in each task; over this, k is first held against the number of rows.
+#: A top-k keeps k rows in each task and merges them in one; over this, rows are cut by distance first.
 TOP = 10_000
 
 
@@ -58,8 +58,23 @@ def knn(df: DataFrame, query: VectorQuery | Sequence[float], k: int, metric: str
         is_array = isinstance(df.schema[label_col].dataType, T.ArrayType)
         rows = rows.where(F.arrays_overlap(label_col, F.array(*map(F.lit, labels))) if is_array else F.col(label_col).isin(list(labels)))
     near = rows.withColumn("distance", F.round(distance(F.col(vec), query, metric), DIGITS) + F.lit(0.0))
-    near = near.orderBy("distance", id_col)
-    return near if k > TOP and k >= rows.count() else near.limit(k)
+    return near.orderBy("distance", id_col).limit(k) if k <= TOP else _many(near, k, id_col)
+
+
+def _many(near: DataFrame, k: int, id_col: str) -> DataFrame:
+    """The first k rows by (distance, id) for a large k: all rows surely before the k-th, and a top-k among those about it only."""
+    n = near.count()
+    if k >= n:
+        return near.orderBy("distance", id_col)
+    share = [max(0.0, k / n - 0.002), min(1.0, k / n + 0.002)]
+    low, high = near.select(F.percentile_approx("distance", share, 10_000)).first()[0]
+    below, within = near.agg(F.count_if(F.col("distance") < low), F.count_if(F.col("distance") <= high)).first()
+    if not below <= k <= within:  # estimates that missed: every row may be the k-th
+        below, at = 0, F.lit(True)
+        sure = near.limit(0)
+    else:
+        at, sure = F.col("distance").between(low, high), near.where(F.col("distance") < low)
+    return sure.unionByName(near.where(at).orderBy("distance", id_col).limit(k - below)).orderBy("distance", id_col)
 
 
 def pairwise(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:

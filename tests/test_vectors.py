@@ -24,6 +24,17 @@ def test_order_and_limit(spark):
     assert knn(df, [1.0, 0.0], 10**9).count() == 4
 
 
+@pytest.mark.parametrize("k", [11, 37, 150, 399, 400])
+def test_many_neighbours(spark, monkeypatch, k):
+    monkeypatch.setattr(knn_module, "TOP", 10)
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(400, 2)) * 2)  # few distances, many ties
+    x[:5] = np.nan
+    got = [r.vec_id for r in knn(frame(spark, x.tolist()).repartition(4), [0.0, 0.0], k).collect()]
+    d = np.round(np.sqrt((x**2).sum(1)), 6)
+    assert got == np.lexsort((np.arange(400), d))[:k].tolist()
+
+
 @pytest.mark.parametrize("metric,want", [("cosine", 0), ("inner_product", 0), ("l1", 0), ("l2_squared", 0)])
 def test_metrics(spark, metric, want):
     df = frame(spark, [[1.0, 1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]])
