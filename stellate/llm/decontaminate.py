@@ -3,25 +3,27 @@
 Every window of ``WINDOW`` words is represented by the least of its ``GRAM``-gram
 hashes; neighbouring windows mostly share it, so a document has far fewer distinct
 fingerprints than windows. Equal windows have equal least hashes, so no shared
-window can be missed. Documents' distinct fingerprints are joined with the
-benchmark's; only documents with a hit are read again, and their hits are extended:
-a window with a hit fingerprint is compared word for word with the benchmark's.
-
-The benchmark's side is broadcast only if it has at most ``BROADCAST_ROWS``
-fingerprints, else both sides are shuffled by hash.
+window can be missed.
+
+Documents are read once and their words never leave their task: the benchmark's
+fingerprints are marked in a table of slots, which is bounded whatever the
+benchmark's size and goes along with the plan. Only windows whose fingerprint's slot
+is marked are kept, with their words. These few are joined with the benchmark's
+windows by fingerprint and words, which leaves out chance hits, and are extended to
+the words they cover. More benchmark fingerprints than slots would only let more
+chance hits get as far as that join.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, materialize, table
 
 WINDOW, GRAM = 8, 5
-BROADCAST_ROWS = 200_000
+#: Slots of a table of marks, a byte each: so many a benchmark fingerprint, between these bounds.
+PER_PRINT, SLOTS = 64, (1 << 15, 1 << 22)
 #: Items that occur in a document from which on it is contaminated.
 ITEMS = 2
 
@@ -71,10 +73,6 @@ def prints(ws: Column, window: int = WINDOW) -> Column:
     return _let(hashed, lambda one: grow(1, one, one))
 
 
-def _marked(fps: Column, window: int) -> Column:
-    return F.transform(F.array_distinct(fps), lambda x: F.struct(x.alias("fp"), F.lit(window).alias("len")))
-
-
 def _bench_windows(items: DataFrame, window: int, exact: bool) -> DataFrame:
     """Distinct windows: (fp, content, item_ids). exact: only items of just ``window`` words."""
     of = items.where(F.size("ws") == window if exact else F.size("ws") >= window)
@@ -83,59 +81,71 @@ def _bench_windows(items: DataFrame, window: int, exact: bool) -> DataFrame:
     return at.groupBy("fp", "content").agg(F.collect_set("item_id").alias("item_ids"))
 
 
-def _occurrences(docs: DataFrame, bench: DataFrame, window: int) -> DataFrame:
-    """(key, start, len, item_ids): where benchmark windows occur. docs: (key, ws, hits)."""
-    at = _let(prints(F.col("ws"), window), lambda p: F.filter(F.transform(p, lambda fp, i: F.when(F.array_contains("hits", fp), F.struct(i.alias("i"), fp.alias("fp")))), lambda x: x.isNotNull()))
-    near = F.transform(at, lambda x: F.struct(x["i"].alias("i"), x["fp"].alias("fp"), F.slice("ws", x["i"] + 1, window).alias("content")))
-    found = docs.select("key", F.explode(near).alias("r")).select("key", F.col("r.i").alias("start"), "r.fp", "r.content")
-    return found.join(bench, ["fp", "content"]).select("key", "start", F.lit(window).alias("len"), "item_ids")
+def _marks(bench: DataFrame) -> tuple[Column, int]:
+    """The table of slots as a literal: byte 1 where a fingerprint falls. The driver gets it as bitmaps of 32,768 slots."""
+    n = bench.select("fp").distinct().count()
+    slots = min(max(SLOTS[0], 1 << (PER_PRINT * max(n, 1)).bit_length()), SLOTS[1])
+    slot = F.pmod("fp", F.lit(slots)) + 1  # bit positions count from 1
+    maps = bench.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    table = bytearray(slots)
+    for k, bits in maps.collect():  # at most SLOTS / 32,768 rows
+        for byte, x in enumerate(bits):
+            for j in range(8) if x else ():
+                if x >> j & 1:
+                    table[(k - 1) * 32768 + 8 * byte + j] = 1
+    return F.lit(bytes(table)), slots
+
+
+def _candidates(ws: Column, marks: Column, slots: int, window: int) -> Column:
+    """Of each window whose fingerprint is marked: fp, start, len and its words."""
+    marked = lambda fp: F.substring(marks, F.pmod(fp, F.lit(slots)) + 1, 1) == F.lit(b"\x01")
+    at = lambda p: F.filter(F.transform(p, lambda fp, i: F.when(marked(fp), F.struct(fp.alias("fp"), i.alias("start")))), lambda x: x.isNotNull())
+    with_words = lambda x: F.struct(x["fp"].alias("fp"), x["start"].alias("start"), F.lit(window).alias("len"), F.slice(ws, x["start"] + 1, window).alias("content"))
+    return F.transform(_let(prints(ws, window), at), with_words)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, by_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``; ``by_text`` adds text_hash, xxhash64(text).
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``.
 
     A window is ``WINDOW`` consecutive words of a benchmark item, or the whole item
     if it has fewer, but not none. A document's word inside any occurrence of a
     window is hit; n_items counts the items with occurring windows. Null texts have
     no words; rows with a null or repeated doc_id are judged row by row; a null
     item_id is no item. An empty benchmark hits nothing. Other columns are not read.
+    ``by_text`` adds text_hash, xxhash64(text), and leaked: contaminated, or a window
+    of ``WINDOW`` words occurs.
     """
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id"), words(F.col("text")).alias("ws"))
     lengths = [r[0] for r in items.where(F.size("ws").between(1, WINDOW - 1)).select(F.size("ws").alias("n")).distinct().collect()]  # at most WINDOW - 1
     key = F.struct("doc_id", F.xxhash64("text").alias("t")).alias("key")
-    named = ["key.doc_id", *([F.col("key.t").alias("text_hash")] if by_text else [])]
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(key, words(F.col("text")).alias("ws"))
-    sides = []
+    bench, near = None, []
     for window, exact in [(WINDOW, False), *((n, True) for n in sorted(lengths))]:
-        bench = materialize(_bench_windows(items, window, exact), "bench-windows")
-        marks = bench.select("fp", F.lit(window).alias("len")).distinct()
-        if rows := marks.count():
-            sides.append((window, bench, marks, rows))
+        of = materialize(_bench_windows(items, window, exact), "bench-windows")
+        if of.isEmpty():
+            continue
+        near.append(_candidates(F.col("ws"), *_marks(of), window))
+        bench = of if bench is None else bench.unionByName(of)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(key, words(F.col("text")).alias("ws"))
+    none = F.array().cast("array<struct<fp: bigint, start: int, len: int, content: array<string>>>")
+    rows = materialize(rows.select("key", F.size("ws").cast("long").alias("n_words"), (F.concat(*near) if near else none).alias("near")), "windows")
+
     zero, empty = F.lit(0).cast("long"), F.sha2(F.lit(""), 256)
-    if not sides:
-        return keyed.select(*named, F.size("ws").cast("long").alias("n_words"), zero.alias("n_hit"), zero.alias("n_items"), empty.alias("items_sha256"), F.lit(False).alias("contaminated"))
-
-    # each row's distinct fingerprints against the benchmark's; a row that has none stays
-    every = F.concat(*[_marked(prints(F.col("ws"), w), w) for w, *_ in sides])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
-    rows = rows.select("row", key, words(F.col("text")).alias("ws")).select("row", "key", F.size("ws").cast("long").alias("n_words"), F.explode_outer(every).alias("p"))
-    rows = rows.select("row", "key", "n_words", "p.fp", "p.len")
-    marks = reduce(DataFrame.unionByName, [m for _, _, m, _ in sides]).withColumn("hit", F.struct("fp", "len"))
-    marks = F.broadcast(marks) if sum(n for *_, n in sides) <= BROADCAST_ROWS else marks
-    rows = rows.join(marks, ["fp", "len"], "left").groupBy("row", "key", "n_words").agg(F.collect_set("hit").alias("hits"))
-    rows = materialize(rows.drop("row"), "prints")
-
-    suspects = rows.where(F.size("hits") > 0).select("key", "hits").dropDuplicates(["key"])
-    again = materialize(keyed.join(suspects, "key"), "suspects")
-    of = lambda w: again.select("key", "ws", F.transform(F.filter("hits", lambda h: h["len"] == w), lambda h: h["fp"]).alias("hits"))
-    found = materialize(reduce(DataFrame.unionByName, [_occurrences(of(w), bench, w) for w, bench, *_ in sides]), "occurrences")
+    named = ["key.doc_id", *([F.col("key.t").alias("text_hash")] if by_text else [])]
+    cols = [*named, "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_items") >= ITEMS).alias("contaminated")]
+    cols += [((F.col("n_items") >= ITEMS) | (F.col("longest") >= WINDOW)).alias("leaked")] if by_text else []
+    if bench is None:
+        return rows.withColumns({"n_hit": zero, "n_items": zero, "items_sha256": empty, "longest": F.lit(0)}).select(*cols)
+    # of rows with one key, that is of one id and text, one stands for all
+    some = rows.where(F.size("near") > 0).groupBy("key").agg(F.first("near").alias("near")).select("key", F.explode("near").alias("w")).select("key", "w.*")
+    found = materialize(some.join(bench, ["fp", "content"]).select("key", "start", "len", "item_ids"), "occurrences")
     # a document's hit words and items: both bounded by its own length and by what it contains
-    spots = found.select("key", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("w")).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_hit"))
+    spots = found.select("key", "len", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("w")).groupBy("key", "w").agg(F.max("len").alias("len"))
+    spots = spots.groupBy("key").agg(F.count(F.lit(1)).alias("n_hit"), F.max("len").alias("longest"))
     ids = found.select("key", F.explode("item_ids").alias("item_id")).distinct().groupBy("key")
     ids = ids.agg(F.count(F.lit(1)).alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("item_id").cast("string"))), ","), 256).alias("items_sha256"))
-    out = rows.join(spots.join(ids, "key"), "key", "left")
-    filled = lambda c: F.coalesce(c, zero).alias(c)
-    return out.select(*named, "n_words", filled("n_hit"), filled("n_items"), F.coalesce("items_sha256", empty).alias("items_sha256"), (F.coalesce("n_items", zero) >= ITEMS).alias("contaminated"))
+    hits = materialize(spots.join(ids, "key"), "hits")
+    out = rows.select("key", "n_words").join(hits, "key", "left")
+    return out.withColumns({"n_hit": F.coalesce("n_hit", zero), "n_items": F.coalesce("n_items", zero), "items_sha256": F.coalesce("items_sha256", empty), "longest": F.coalesce("longest", F.lit(0))}).select(*cols)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

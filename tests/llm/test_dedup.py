@@ -151,7 +151,7 @@ def test_contamination(spark, monkeypatch):
     b = spark.createDataFrame([(i, t, "z") for i, t in bench], "item_id long, text string, fp string")
     want = sorted(brute_contamination(rows, bench))
     assert sorted(tuple(r) for r in decontaminate.contamination(df, b).collect()) == want and any(w[5] for w in want)
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "SLOTS", (32, 64))
     assert sorted(tuple(r) for r in decontaminate.contamination(df, b).collect()) == want
     assert not any(r.n_hit for r in decontaminate.contamination(df, b.limit(0)).collect())
 
