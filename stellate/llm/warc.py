@@ -5,9 +5,10 @@ folder and returns an index row (file, offset, length, URL, digest) per record.
 archive's name is its task attempt's own, so an attempt that is lost or repeated
 leaves at most a file that no index row names; the index is committed by Spark.
 
-Reading: index rows (all, or any selection) are dealt by file and region, sorted by
-offset, and neighbouring byte ranges are coalesced into reads of at most ``READ``
-bytes; records are then inflated and parsed one by one.
+Reading: index rows (all, or any selection) are dealt by file and region to a number
+of tasks that follows the bytes they name, sorted by offset, and neighbouring byte
+ranges are coalesced into reads of at most ``READ`` bytes; records are then inflated
+and parsed one by one, and handed on whenever their payloads come to ``READ`` bytes.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize, shared_dir, small_batches, table
+from .common import BATCH_ROWS, arrow_rows, materialize, shared_dir, slices, table
 
 #: Payloads below this size are never stored as revisits.
 LEAST_REVISIT = 0
 #: Largest coalesced read, and largest gap that is read over.
 READ, GAP = 8 << 20, 64 << 10
+#: Payloads that occur more than once, up to which number they are broadcast (40 bytes each).
+KNOWN = 200_000
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string"
@@ -74,22 +77,24 @@ def decode(record: bytes) -> dict:
 
 
 def plan(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """(page_id, url, payload, first): first is the smallest page_id with an equal payload."""
+    """(page_id, url, payload, first): first is the smallest page_id with an equal payload, null where there is no other row with it."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha", F.unhex(F.sha2("payload", 256)))
-    firsts = rows.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.min("page_id").alias("first"))
+    firsts = rows.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = materialize(firsts.where("n > 1").select("sha", "first"), "firsts")
+    if firsts.count() <= KNOWN:
+        firsts = F.broadcast(firsts)  # else a shuffled join, both sides of which come from files
     return rows.join(firsts, "sha", "left").select("page_id", "url", "payload", "first")
 
 
 def write(planned: DataFrame, path: str) -> DataFrame:
     """Writes archives under ``path`` and returns their committed index."""
     target, pack = arrow_rows(INDEX)
-    small_batches(planned.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
-        for b in batches:
-            if out is None and b.num_rows:
+        for b in slices(batches):
+            if out is None:
                 fs, root = arrow_fs.FileSystem.from_uri(path)
                 fs.create_dir(root, recursive=True)
                 name, at = f"{uuid.uuid4().hex}.warc.gz", 0
@@ -125,7 +130,6 @@ def coalesce_ranges(ranges: list[tuple[int, int]], read: int = READ, gap: int =
 def read(index: DataFrame, path: str) -> DataFrame:
     """The records that ``index`` (a selection of write()'s rows) names, as ``RECORD``."""
     target, pack = arrow_rows(RECORD)
-    small_batches(index.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = arrow_fs.FileSystem.from_uri(path)
@@ -138,11 +142,19 @@ def read(index: DataFrame, path: str) -> DataFrame:
                     for group in coalesce_ranges(sorted(ranges)):
                         start, end = group[0][0], sum(group[-1])
                         data = f.read_at(end - start, start)
-                        rows = [decode(zlib.decompress(data[o - start : o - start + n], 31)) for o, n in group]
-                        yield pack({k.name: [r[k.name] for r in rows] for k in target})
-
+                        rows, held = [], 0
+                        for o, n in group:
+                            rows.append(decode(zlib.decompress(data[o - start : o - start + n], 31)))
+                            held += len(rows[-1]["payload"] or b"")
+                            if held >= READ or len(rows) == BATCH_ROWS:
+                                yield pack({k.name: [r[k.name] for r in rows] for k in target})
+                                rows, held = [], 0
+                        if rows:
+                            yield pack({k.name: [r[k.name] for r in rows] for k in target})
+
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // READ))
     region = F.floor(F.col("offset") / READ).alias("region")
-    dealt = index.select("file", "offset", "length", region).repartition("file", "region").sortWithinPartitions("file", "offset")
+    dealt = index.select("file", "offset", "length", region).repartition(tasks, "file", "region").sortWithinPartitions("file", "offset")
     return dealt.select("file", "offset", "length").mapInArrow(run, target)
 
 
