@@ -103,7 +103,7 @@ def _hook(lab: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 
 
 def link_batch(group: np.ndarray, fp: np.ndarray, distance: int = MAX_DISTANCE, pivots: int = PIVOTS) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a spanning forest of each group) between fingerprints of equal ``group``."""
+    """Links between fingerprints of equal ``group``, as signed longs: of each group a spanning forest, in stars on the least ones."""
     refs = _pivots(pivots)
     order = np.lexsort((np.bitwise_count(fp ^ refs[0]), group))
     group, fp = group[order], fp[order]
@@ -121,8 +121,11 @@ def link_batch(group: np.ndarray, fp: np.ndarray, distance: int = MAX_DISTANCE,
         i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= distance]
         _hook(lab, i, i + step)
         step += 1
-    far = np.flatnonzero(lab != np.arange(n))
-    return fp[lab[far]], fp[far]
+    near = fp.view(np.int64)
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, lab, near)
+    far = near != least[lab]
+    return least[lab[far]], near[far]
 
 
 def _deal(fps: DataFrame, fixed: int | None, distance: int) -> DataFrame:
@@ -139,7 +142,7 @@ def _link_groups(dealt: DataFrame, distance: int) -> DataFrame:
         def flush(x):
             change = np.concatenate(([True], (x[1:, 0] != x[:-1, 0]) | (x[1:, 1] != x[:-1, 1])))
             a, b = link_batch(np.cumsum(change), x[:, 2].copy().view(np.uint64), distance)
-            return pack({"a": a.view(np.int64), "b": b.view(np.int64)})
+            return pack({"a": a, "b": b})
 
         for b in batches:
             if b.num_rows:
