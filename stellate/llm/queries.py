@@ -10,7 +10,7 @@ from .decontaminate import OP4_SQL, op4_decontaminate
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .substring_dedup import OP2_SQL, op2_substring_dedup
 from .toxicity import op8_toxicity
-from .warc import op9_warc
+from .warc import OP9_SQL, op9_warc
 from .langid import op5_language_id
 from .packing import op3_packing
 from .pii import op6_pii
@@ -29,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_exact_dedup": op10_exact_dedup,
 }
-SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op4_decontaminate": OP4_SQL, "op10_exact_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op4_decontaminate": OP4_SQL, "op9_warc": OP9_SQL, "op10_exact_dedup": OP10_SQL}

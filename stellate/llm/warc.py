@@ -175,3 +175,19 @@ def archive(pages: DataFrame, least: int = LEAST_REVISIT, path: str | None = Non
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages"))
+
+
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload FROM pages
+), d AS (
+  SELECT page_id, payload, sha1(payload) AS h, min(page_id) OVER (PARTITION BY payload) AS first FROM p
+), b AS (
+  SELECT *, list_transform(range(0, 8), lambda k: ('0x' || h[5 * k + 1:5 * k + 5])::INTEGER) AS v FROM d
+)
+SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes,
+       array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda s: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(x >> s) % 32 + 1]), '')), '') AS payload_digest,
+       CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+"""
