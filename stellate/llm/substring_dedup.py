@@ -9,13 +9,14 @@ depth ``WINDOW`` always share the anchor's prefix.
    text is searched (in a later copy, every window also starts in that one).
 2. Anchors' prefixes are counted over all classes; a prefix of a single text can't
    branch at that depth and is left out.
-3. The rest is split by prefix into memory-sized groups. Where a ``GRAM``-word
-   prefix holds more than ``GROUP`` anchors, its suffixes are dealt to parts by
-   document; each part's trees yield their nodes at depth ``WINDOW`` (a longer,
-   50-word prefix, as a 128-bit hash) once, however many suffixes meet there.
-   Nodes of all parts are aggregated, and every part gets back the smallest doc_id
-   of its own nodes. A document's heavy suffixes are in one part, so its adjacent
-   spans are merged there.
+3. The rest is split by prefix into memory-sized groups. A ``GRAM``-word prefix of
+   more than ``GROUP`` anchors is lengthened to ``WINDOW`` words at once, as shorter
+   steps don't split a passage that thousands of texts share: its suffixes are first
+   dealt to parts by document, each part's trees yield their nodes at depth
+   ``WINDOW`` (as 128-bit hashes of the words) once, however many suffixes meet
+   there, and the groups of the long prefixes are aggregates of these. Every part
+   gets back the smallest doc_id of its own nodes. A document's heavy suffixes are
+   in one part, so its adjacent spans are merged there.
 4. Each group's tree is built in numpy, level by level: rank at depth 2k from two
    ranks at depth k, on word ids, not hashes. Nodes at depth ``WINDOW`` with two
    texts or more are the deep internal nodes; their suffixes are the repeats, and
@@ -38,6 +39,8 @@ from .common import arrow_map, arrow_rows, materialize, table
 WINDOW, GRAM = 50, 8
 #: Anchors that a prefix group may hold in a task's memory.
 GROUP = 4096
+#: Class texts whose names may be broadcast to fetch them; more are fetched by a shuffled join.
+NAMED = 500_000
 _LAST = (1 << 63) - 1  # stands for a null doc_id: after all others
 _ODD = [np.uint64(int.from_bytes(hashlib.md5(bytes([j])).digest()[:8], "big") | 1) for j in range(64)]
 
@@ -73,10 +76,10 @@ def anchors(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple
 
 
 def _scan(docs: DataFrame, window: int) -> DataFrame:
-    """Per row: its class, number of words, the digest of all its words, its anchors' prefixes."""
+    """Per row: the hash of its text, its class, number of words, the digest of all its words, its anchors' prefixes."""
 
     def run(c):
-        out = {"doc_id": c["doc_id"], "cls": [], "n_words": [], "sha": [], "prefixes": []}
+        out = {"doc_id": c["doc_id"], "h": c["h"], "cls": [], "n_words": [], "sha": [], "prefixes": []}
         for t in c["text"]:
             words = (t or b"").split()
             norm = b" ".join(words)
@@ -87,7 +90,7 @@ def _scan(docs: DataFrame, window: int) -> DataFrame:
             out["prefixes"].append(anchors(words, window)[0])
         return out
 
-    return arrow_map(docs, run, "doc_id long, cls binary, n_words long, sha string, prefixes array<long>")
+    return arrow_map(docs, run, "doc_id long, h long, cls binary, n_words long, sha string, prefixes array<long>")
 
 
 def _contexts(rows: DataFrame, window: int, parts: int) -> DataFrame:
@@ -238,16 +241,20 @@ def _cut(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scan of all rows, class texts with repeats, repeated spans by class)."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
     scan = materialize(_scan(docs, window), "scan")
-    classes = scan.where(F.size("prefixes") > 0).groupBy("cls").agg(F.min_by(F.struct("doc_id", "prefixes"), "doc_id").alias("x")).select("cls", F.col("x.doc_id").alias("rep"), F.col("x.prefixes").alias("prefixes"))
+    classes = scan.where(F.size("prefixes") > 0).groupBy("cls").agg(F.min_by(F.struct("doc_id", "h", "prefixes"), F.struct("doc_id", "h")).alias("x")).select("cls", F.col("x.doc_id").alias("rep"), F.col("x.h").alias("h"), F.col("x.prefixes").alias("prefixes"))
     classes = materialize(classes, "classes")
-    listed = classes.select("cls", "rep", F.explode("prefixes").alias("p"))
+    listed = classes.select("cls", "rep", "h", F.explode("prefixes").alias("p"))
     branch = listed.groupBy("p").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("p", "n", (F.col("n") > group).alias("heavy"))
     branch = materialize(branch, "branch")
     parts = -(-(branch.where("heavy").agg(F.sum("n")).first()[0] or 1) // group)
-    wanted = listed.distinct().join(branch, "p").groupBy("cls", "rep").agg(F.collect_set(F.struct("p", "heavy")).alias("prefixes"))
-    texts = docs.join(wanted, docs.doc_id == wanted.rep).select("rep", "cls", "text", "prefixes")
+    wanted = listed.distinct().join(branch, "p").groupBy("cls", "rep", "h").agg(F.collect_set(F.struct("p", "heavy")).alias("prefixes"))
+    wanted = materialize(wanted, "wanted")
+    # a class's text is that of the row (rep, h); rows that repeat both are folded before they are shuffled
+    names = wanted.select(F.col("rep").alias("doc_id"), "h")
+    some = docs.join(F.broadcast(names), ["doc_id", "h"], "left_semi") if names.count() <= NAMED else docs
+    texts = some.groupBy("doc_id", "h").agg(F.first("text").alias("text")).withColumnRenamed("doc_id", "rep").join(wanted, ["rep", "h"]).select("rep", "cls", "text", "prefixes")
     texts = materialize(texts, "texts")
     contexts = materialize(_contexts(texts, window, parts), "contexts")
     spans = _light_repeats(contexts.where("part IS NULL"), window).unionByName(_heavy_repeats(contexts.where("part IS NOT NULL"), window))
@@ -278,8 +285,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -
 
     own = arrow_map(texts.join(spans, "cls").select("cls", "text", "spans"), cut, "cls binary, removed long, kept string")
     own = own.dropDuplicates(["cls"])
-    reps = scan.groupBy("cls").agg(F.min("doc_id").alias("rep")).join(own, "cls", "left")
-    rows = scan.drop("prefixes").join(reps, "cls")
+    reps = materialize(scan.groupBy("cls").agg(F.min("doc_id").alias("rep")).join(own, "cls", "left"), "reps")  # written, so that the next join can split a large class
+    rows = scan.drop("prefixes", "h").join(reps, "cls")
     copy = (F.col("doc_id") > F.col("rep")) & (F.col("n_words") >= window)
     return rows.select(
         F.when(F.col("doc_id") < _LAST, F.col("doc_id")).alias("doc_id"),
