@@ -1,10 +1,12 @@
 """8. Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
-A bounded sample of labelled rows (``SAMPLE``, the smallest by a hash of doc_id)
-fits everything on the driver. Lexicon entries are whole words and word beginnings
-whose document frequency tells toxic from clean rows. Training rows get their
-lexicon features from lexicons fitted without them (folds), and the calibration
-uses scores of trees fitted without them. Scoring is one pass over whole texts.
+A bounded sample of labelled rows (``SAMPLE``, the smallest by a hash of doc_id) is
+fitted on. Lexicon entries are whole words and word beginnings whose document
+frequency, counted by the executors, tells toxic from clean rows. Training rows get
+their lexicon features from lexicons fitted without them (folds), and the
+calibration uses scores of trees fitted without them. The driver gets counts of
+terms that some toxic rows share and a row of features per training row, never a
+text, so texts of any length can be fitted on. Scoring is one pass over whole texts.
 """
 
 from __future__ import annotations
@@ -12,21 +14,23 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table
+from .common import arrow_map, drop_materialized, materialize, table
 
-#: Labelled rows that may be fitted on, and characters of them in all.
-SAMPLE, SAMPLE_CHARS = 4000, 24_000_000
+#: Labelled rows that may be fitted on.
+SAMPLE = 4000
 FOLDS, TREES, DEPTH, RATE, LEAF, EDGES = 3, 60, 3, 0.15, 8, 32
 STEMS = range(4, 8)
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros".split())
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
-_SIGNS, _DIGITS = re.compile(r"[*@$!#]+\w"), re.compile(r"\d+[A-Za-z]")
+#: A run is tried at its start only, so a long one is read once.
+_SIGNS, _DIGITS = re.compile(r"(?<![*@$!#])[*@$!#]++\w"), re.compile(r"(?<!\d)\d++[A-Za-z]")
 _SPACED, _STRETCHED = re.compile(r"\b\w[ .\-]\w[ .\-]\w[ .\-]\w\b"), re.compile(r"([a-z])\1\1\1")
 FEATURES = ("log_words", "lex_density", "lex_distinct", "stem_density", "stem_distinct", "max_weight", "near_second", "second_density", "capitals", "shouted", "punctuation", "exclaims", "hidden")
 
@@ -46,17 +50,25 @@ def _stems(w: str) -> list[str]:
     return [w[:k] for k in STEMS if len(w) > k]
 
 
-def lexicon(rows: list[tuple[list[str], int]]) -> tuple[dict[str, float], dict[str, float]]:
-    """Weights (log odds of document frequency) of telling words and of telling word beginnings."""
-    n = [sum(1 for _, y in rows if y == k) for k in (0, 1)]
-    out = []
-    for cut in (lambda w: [w], _stems):
-        df = (Counter(), Counter())
-        for ws, y in rows:
-            df[y].update({x for w in set(ws) for x in cut(w)})
-        odds = {x: np.log((a + 0.5) / (n[1] + 1)) - np.log((df[0][x] + 0.5) / (n[0] + 1)) for x, a in df[1].items() if a >= max(3, n[1] // 100)}
-        out.append({x: float(v) for x, v in odds.items() if v > 2.5})
-    return out[0], out[1]
+def term_counts(rows: Iterable[tuple[str | None, int, int]]) -> Counter:
+    """rows: (text, label, fold). Rows that have a term, by (kind, term, label, fold); kind 0 are words, 1 word beginnings."""
+    out: Counter = Counter()
+    for text, y, fold in rows:
+        ws = set(terms(text))
+        out.update((0, w, y, fold) for w in ws)
+        out.update((1, x, y, fold) for x in {x for w in ws for x in _stems(w)})
+    return out
+
+
+def lexicon(counts: dict[tuple[int, str], np.ndarray], n: np.ndarray) -> tuple[dict[str, float], dict[str, float]]:
+    """Weights (log odds of document frequency) of telling words and of telling word beginnings. counts: rows of (kind, term) by label; n: rows by label."""
+    out: tuple[dict[str, float], dict[str, float]] = ({}, {})
+    for (kind, x), (clean, toxic) in counts.items():
+        if toxic >= max(3, n[1] // 100):
+            v = float(np.log((toxic + 0.5) / (n[1] + 1)) - np.log((clean + 0.5) / (n[0] + 1)))
+            if v > 2.5:
+                out[kind][x] = v
+    return out
 
 
 def features(text: str | None, lex: tuple[dict[str, float], dict[str, float]]) -> list[float]:
@@ -173,22 +185,13 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """lexicon, trees and calibration; scores lists of whole texts."""
 
-    def __init__(self, rows: list[tuple[int, str, int]]):
-        rows = sorted(rows)
-        data = [(terms(t), y) for _, t, y in rows]
-        fold = np.array([zlib.crc32(f"f{i}".encode()) % FOLDS for i, *_ in rows], int)
-        y = np.array([v for *_, v in rows], float)
-        self.lex = lexicon(data)
-        self.trees, self.knots = None, None
-        if not len(rows) or y.min() == y.max():  # nothing to tell apart
-            self.constant = float(y.mean()) if len(rows) else 0.0
+    def __init__(self, lex: tuple[dict[str, float], dict[str, float]], x: np.ndarray, y: np.ndarray, fold: np.ndarray):
+        """x: features of the training rows, with lexicons fitted without their folds."""
+        self.lex, self.trees, self.knots = lex, None, None
+        if not len(y) or y.min() == y.max():  # nothing to tell apart
+            self.constant = float(y.mean()) if len(y) else 0.0
             return
-        x = np.zeros((len(rows), len(FEATURES)))
-        for k in range(FOLDS):
-            lex = lexicon([d for d, f in zip(data, fold, strict=True) if f != k])
-            for i in np.flatnonzero(fold == k):
-                x[i] = features(rows[i][1], lex)
-        out = np.zeros(len(rows))
+        out = np.zeros(len(y))
         for k in range(FOLDS):
             if (fold == k).any() and len(set(y[fold != k])) == 2:
                 out[fold == k] = Boosted().fit(x[fold != k], y[fold != k]).margin(x[fold == k])
@@ -209,17 +212,35 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on labelled rows that aren't held out; at most ``sample`` rows, chosen by a hash of doc_id."""
+    """Fits on labelled rows that aren't held out; at most ``sample`` rows, chosen by a hash of doc_id. Equal rows count once."""
+    spark = docs.sparkSession
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").where(~held_out(F.col("doc_id")))
     some = named.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id")  # at most `sample` rows
-    got, chars = [], 0
-    for r in rows.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "text").toLocalIterator():
-        chars += len(r.text or "")
-        if chars > SAMPLE_CHARS:
-            break
-        got.append((r.doc_id, r.text or "", r.y))
-    return Model(got)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").join(F.broadcast(some), "doc_id")  # at most `sample` ids
+    keys = rows.select("doc_id", "h").distinct().orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "h").limit(sample)
+    rows = rows.join(F.broadcast(keys), ["doc_id", "h"], "left_semi").drop("h").distinct()  # at most `sample` rows
+    rows = materialize(rows.withColumn("fold", (F.crc32(F.concat(F.lit("f"), F.col("doc_id")).cast("binary")) % FOLDS).cast("int")).repartition(32), "labelled")
+
+    def count(c):
+        k = term_counts(zip(c["text"], c["y"], c["fold"], strict=True))
+        return {**dict(zip(("kind", "term", "y", "fold"), map(list, zip(*k)), strict=True)), "n": list(k.values())}
+
+    n = np.zeros((2, FOLDS), int)
+    for r in rows.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n")).collect():
+        n[r.y, r.fold] = r.n
+    at = [F.sum(F.when((F.col("y") == y) & (F.col("fold") == k), F.col("n")).otherwise(0)).alias(f"n{y}_{k}") for y in (0, 1) for k in range(FOLDS)]
+    counted = arrow_map(rows, count, "kind int, term string, y int, fold int, n long").groupBy("kind", "term").agg(*at)
+    counts = {(r[0], r[1]): np.array(r[2:]).reshape(2, FOLDS) for r in counted.where(" + ".join(f"n1_{k}" for k in range(FOLDS)) + " >= 3").collect()}  # terms of three toxic rows of the sample
+    lex = lexicon({t: v.sum(1) for t, v in counts.items()}, n.sum(1))
+    without = [lexicon({t: v.sum(1) - v[:, k] for t, v in counts.items()}, n.sum(1) - n[:, k]) for k in range(FOLDS)]
+    shared = spark.sparkContext.broadcast(without)
+
+    def describe(c):
+        return {"doc_id": c["doc_id"], "y": c["y"], "fold": c["fold"], "x": [features(t, shared.value[k]) for t, k in zip(c["text"], c["fold"], strict=True)]}
+
+    got = sorted(map(tuple, arrow_map(rows, describe, "doc_id long, y int, fold int, x array<double>").collect()))  # at most `sample` rows of features
+    drop_materialized(rows)
+    return Model(lex, np.array([r[3] for r in got]).reshape(-1, len(FEATURES)), np.array([r[1] for r in got], float), np.array([r[2] for r in got], int))
 
 
 def score(docs: DataFrame, model: Model, by_text: bool = False) -> DataFrame:
