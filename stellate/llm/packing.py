@@ -8,9 +8,10 @@ range of residuals keeps the intersection of its bins' source bitmaps, so ranges
 which each bin has the source are passed over at once.
 
 Texts over the capacity give full bins of their own and a remainder that is packed.
-Documents are dealt by a hash of doc_id to shards of bounded size, each packed on
-its own, longest first: shards are a documented parameter, no bin crosses them, and
-a source that holds a third of all rows is spread over all of them.
+Rows are sized and numbered, and dealt by a hash of that number to shards of bounded
+size, each packed on its own, longest first: shards are a documented parameter, no
+bin crosses them, and a source, an id or a missing one that a third of all rows have
+is spread over all of them.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_rows, ascii_lower, table
+from .common import arrow_map, arrow_rows, ascii_lower, materialize, table
 
 CAPACITY = 2048
+#: Bytes of words that count as one token at least, so that a text without white space isn't one token.
+TOKEN_BYTES = 16
 #: Documents of a shard, on average.
 SHARD = 8192
 
@@ -111,33 +114,34 @@ def pack_shard(docs: Iterable[tuple], capacity: int = CAPACITY) -> list[tuple]:
     return out
 
 
+def tokens(text: bytes | None) -> int:
+    """Words between ASCII white space, or one for each TOKEN_BYTES bytes of them begun, if that is more."""
+    words = (text or b"").split()
+    return max(len(words), -(-sum(map(len, words)) // TOKEN_BYTES))
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """(bin_id, slot, doc_id, piece, start_token, n_tokens, bin_offset, source), one row per piece of each document.
 
-    Tokens are words between ASCII white space. A duplicate cluster is a set of
-    texts equal after lower-casing A-Z. A bin holds at most one document of a known
-    source and one of a cluster; pieces of one document are never in one bin. Null
-    and blank texts have no tokens and are still placed; a null source or text
-    conflicts with nothing. Repeated doc_ids are packed row by row. Other columns
-    are not read. An empty table gives no rows.
+    Tokens are those of tokens(). A duplicate cluster is a set of texts equal after
+    lower-casing A-Z. A bin holds at most one document of a known source and one of
+    a cluster; pieces of one document are never in one bin. Null and blank texts
+    have no tokens and are still placed; a null source or text conflicts with
+    nothing. Repeated and null doc_ids are packed row by row. Other columns are not
+    read. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    n = docs.count()
-    shards = max(1, -(-n // shard))
 
     def count(c):
-        return {"doc_id": c["doc_id"], "source": c["source"], "cluster": c["cluster"], "n": [len((t or b"").split()) for t in c["text"]]}
+        return {"at": c["at"], "doc_id": c["doc_id"], "source": c["source"], "cluster": c["cluster"], "n": [tokens(t) for t in c["text"]]}
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(ascii_lower(F.col("text"))).alias("h"), F.col("text").cast("binary").alias("text"))
-    rows = rows.select("doc_id", "source", F.when(F.length("text") > 0, F.col("h")).alias("cluster"), "text")
-    sized = arrow_map(rows, count, "doc_id long, source string, cluster long, n int")
-    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(shards)).cast("int"))
+    rows = docs.select(F.monotonically_increasing_id().alias("at"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(ascii_lower(F.col("text"))).alias("h"), F.col("text").cast("binary").alias("text"))
+    rows = rows.select("at", "doc_id", "source", F.when(F.length("text") > 0, F.col("h")).alias("cluster"), "text")
+    sized = materialize(arrow_map(rows, count, "at long, doc_id long, source string, cluster long, n long"), "sized")  # written, so that a row keeps its number
+    shards = max(1, -(-sized.count() // shard))
+    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("at", F.lit(3)), F.lit(shards)).cast("int"))
     target, make = arrow_rows("bin_id string, slot int, doc_id long, piece int, start_token long, n_tokens int, bin_offset int, source string")
 
-    def one(t: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return pa.Table.from_batches([make({f.name: [] for f in target})])
-        name = t["shard"][0].as_py()
+    def one(name: int, t: pa.Table) -> pa.RecordBatch:
         rows = sorted(zip(*(t[c].to_pylist() for c in ("doc_id", "n", "source", "cluster")), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or "", r[3] or 0))
         placed = sorted(((b, at, i, k, n) for i, k, n, b, at in pack_shard([(i, *r[1:]) for i, r in enumerate(rows)], capacity)))
         cols: dict[str, list] = {f.name: [] for f in target}
@@ -146,10 +150,25 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataF
             slot, before = (slot + 1 if b == before else 0), b
             for c, v in zip(cols, (f"{name:06d}-{b:06d}", slot, rows[i][0], k, k * capacity, n, at, rows[i][2]), strict=True):
                 cols[c].append(v)
-        return pa.Table.from_batches([make(cols)])
+        return make(cols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            while b.num_rows:
+                name, ids = b["shard"][0].as_py(), b["shard"].to_numpy()
+                n = int((ids == name).sum())  # sorted: one shard after the other
+                if held and held[0]["shard"][0].as_py() != name:
+                    yield one(held[0]["shard"][0].as_py(), pa.Table.from_batches(held))
+                    held = []
+                held.append(b.slice(0, n))
+                b = b.slice(n)
+        if held:
+            yield one(held[0]["shard"][0].as_py(), pa.Table.from_batches(held))
 
-    spread = dealt.repartition(max(1, min(shards, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))), "shard")
-    return spread.groupBy("shard").applyInArrow(one, target)
+    spark = docs.sparkSession
+    tasks = max(1, min(shards, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return dealt.repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard").mapInArrow(run, target)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
