@@ -3,10 +3,10 @@
 Base spans are found by linear scans that give just what the four patterns give,
 leftmost and non-overlapping per kind. The CRF is trained from a small labelled
 table (``labelled()``, a few hundred short lines made by rule) by maximum
-likelihood, and decoded by Viterbi in numpy over every word of every text. Texts go
-in pieces of ``PIECE`` words that are decoded with ``OVERLAP`` more on either side,
-many pieces at once; the weights of a word are summed once and kept. The CRF adds
-spans that overlap no base span; base spans always stay.
+likelihood, and decoded by Viterbi in numpy over every word of every text, many texts
+side by side, longest first, each from its first word to its last without a cut;
+the weights of a word are summed once and kept. The CRF adds spans that overlap no
+base span; base spans always stay.
 """
 
 from __future__ import annotations
@@ -117,9 +117,9 @@ def _features(words: list[str]) -> list[list[str]]:
     return [["bias", *own[i], *(f"-1{x}" for x in (own[i - 1] if i else ["edge"])), *(f"+1{x}" for x in (own[i + 1] if i + 1 < len(words) else ["edge"]))] for i in range(len(words))]
 
 
-def labelled() -> list[tuple[list[str], list[str]]]:
+def labelled(seed: int = 5) -> list[tuple[list[str], list[str]]]:
     """The small labelled table: short lines with their labels, made by rule from fixed forms."""
-    rng, out = np.random.default_rng(5), []
+    rng, out = np.random.default_rng(seed), []
     digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
 
     def card(n=16):
@@ -159,12 +159,12 @@ def labelled() -> list[tuple[list[str], list[str]]]:
 
 #: Classes of shape(), a character each; further characters stand for themselves.
 _CLASSES = {c: k for c in range(0x250) if (k := "A" if re.match("[A-ZÀ-ÖØ-Þ]", chr(c)) else "9" if re.match(r"\d", chr(c)) else "a" if re.match(r"[^\W\d_A-ZÀ-Þ]", chr(c)) else None)}
-#: Words of a piece that is decoded at once, and further ones read on either side.
-PIECE, OVERLAP = 256, 32
+#: Steps whose emissions are held at once.
+STEPS = 256
 #: Words whose weights a process keeps, and their characters.
 KEPT_WORDS, KEPT_CHARS = 1 << 17, 1 << 23
 #: Characters of texts whose words are held at once.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 22
 
 
 class CRF:
@@ -250,48 +250,48 @@ class CRF:
             coded.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
         weights = np.concatenate([weights, new]) if new else weights
         self._kept[2:] = [weights, chars]
-        out = [np.zeros(len(c), np.int8) for c in coded]
-        pieces = [(i, lo, max(0, lo - OVERLAP), min(len(c), lo + PIECE + OVERLAP)) for i, c in enumerate(coded) for lo in range(0, len(c), PIECE)]
-        pieces.sort(key=lambda p: p[3] - p[2])
-        for at in range(0, len(pieces), 256):
-            some = pieces[at : at + 256]
-            t = some[-1][3] - some[-1][2]
-            e = np.zeros((t, len(some), len(LABELS)), np.float32)
-            for r, (i, _, a, b) in enumerate(some):
-                e[: b - a, r] = self._emissions(coded[i], a, b, weights)
-            found = self._viterbi(e, np.array([b - a for *_, a, b in some]))
-            for r, (i, lo, a, _) in enumerate(some):
-                hi = min(len(coded[i]), lo + PIECE)
-                out[i][lo:hi] = found[lo - a : hi - a, r]
-        return out
+        return self._viterbi(coded, weights)
 
-    def _emissions(self, c: np.ndarray, a: int, b: int, weights: np.ndarray) -> np.ndarray:
-        e = weights[c[a:b], 0]
-        lo, hi = int(a == 0), b - int(b == len(c))
-        e[lo:] += weights[c[a + lo - 1 : b - 1], 1]
-        e[: hi - a] += weights[c[a + 1 : hi + 1], 2]
-        for edge, j in (("-1edge", 0), ("+1edge", -1)):
-            if edge in self.ids and (a == 0 if j == 0 else b == len(c)):
-                e[j] += self.w[self.ids[edge]]
-        return e
-
-    def _viterbi(self, e: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Best labels (words, lines); e: (words, lines, labels)."""
-        t, n, k = e.shape
-        into, back, r = np.ascontiguousarray(self.a.T, np.float32), np.zeros((t, n, k), np.int8), np.arange(n)
-        best, last = e[0], np.zeros(n, np.int8)
-        last[size == 1] = best[size == 1].argmax(1)
-        for j in range(1, t):
-            s = best[:, None, :] + into
-            back[j] = s.argmax(2)
-            best = np.take_along_axis(s, back[j][..., None].astype(np.intp), 2)[..., 0] + e[j]
-            if (end := size == j + 1).any():
-                last[end] = best[end].argmax(1)
-        out, now = np.zeros((t, n), np.int8), last
-        for j in range(t - 1, -1, -1):
-            out[j] = now = np.where(j == size - 1, last, now)
-            if j:
-                now = np.where(j < size, back[j, r, now], now)
+    def _viterbi(self, coded: list[np.ndarray], weights: np.ndarray) -> list[np.ndarray]:
+        """Best labels of every line, given the numbers of its words' weights."""
+        order = sorted((i for i, c in enumerate(coded) if len(c)), key=lambda i: -len(coded[i]))
+        size = np.array([len(coded[i]) for i in order], np.int64)
+        out = [np.zeros(len(c), np.int8) for c in coded]
+        if not order:
+            return out
+        flat, at = np.concatenate([coded[i] for i in order]), np.cumsum(size) - size
+        left, right = (self.w[self.ids[x]] if x in self.ids else np.zeros(len(LABELS)) for x in ("-1edge", "+1edge"))
+        into, backs, best = np.ascontiguousarray(self.a.T, np.float32), [], np.zeros((0, len(LABELS)), np.float32)
+        last = np.zeros(len(order), np.int8)
+        for lo in range(0, int(size[0]), STEPS):
+            n = int((size > lo).sum())  # lines that go on; the longest come first
+            j = np.arange(lo, min(lo + STEPS, int(size[0])))[:, None]
+            where, real = at[:n] + np.minimum(j, size[:n] - 1), j < size[:n]
+            e = weights[flat[where], 0]
+            e += np.where((j > 0)[..., None], weights[flat[np.maximum(where - 1, 0)], 1], left.astype(np.float32))
+            e += np.where((j < size[:n] - 1)[..., None], weights[flat[np.minimum(where + 1, len(flat) - 1)], 2], right.astype(np.float32))
+            for t in range(len(j)):
+                m = int(real[t].sum())
+                if lo + t:
+                    s = best[:m, None, :] + into
+                    back = s.argmax(2)
+                    backs.append(back.astype(np.int8))
+                    now = np.take_along_axis(s, back[..., None], 2)[..., 0] + e[t, :m]
+                else:
+                    now = e[0]
+                ended = size[:m] == lo + t + 1
+                if ended.any():
+                    last[:m][ended] = now[ended].argmax(1)
+                best = now
+        found, now = np.zeros(len(flat), np.int8), last
+        for t in range(int(size[0]) - 1, -1, -1):
+            m = int(np.searchsorted(-size, -t, side="left"))  # lines of more than t words
+            found[at[:m] + t] = now[:m]
+            if t:
+                now = now.copy()
+                now[:m] = backs[t - 1][np.arange(m), now[:m]]
+        for r, i in enumerate(order):
+            out[i] = found[at[r] : at[r] + size[r]]
         return out
 
     def decode(self, lines: list[list[str]]) -> list[list[str]]:
@@ -376,7 +376,7 @@ def personal_data(docs: DataFrame, crf: CRF | None = None) -> DataFrame:
         out["spans"] = [listed(sorted({*b, *m})) for b, m in zip(base, more, strict=True)]
         return out
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", rows=2048)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
