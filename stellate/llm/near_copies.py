@@ -12,19 +12,24 @@ more bits differ (19 %); such pairs are joined exactly, by the subsets of four.
 In a group, every member has its distances, over the first ``SHORT`` bits, to
 ``PIVOTS`` members: pairs with a coordinate difference over ``NEAR`` are dropped by the
 triangle inequality, and of the rest those over ``NEAR`` bits (1e-6 at 0.8). Then all
-bits are compared (``FAR``; 2e-5 at 0.8), and what is left is verified on the exact
-shingle sets.
+bits are compared (``FAR``; 2e-5 at 0.8). Those leave pairs down to 0.65 or so, of which
+a large group of near copies has as many as its square; a parity sketch drops most of
+them in the group, and never a link: shingles that both texts hold cancel out, so two
+sketches differ in at most as many bits as there are shingles that one text lacks. What
+is left is verified on the exact shingle sets.
 
 Every candidate pair that could join two components is verified. First, each member of
-a group meets one leader, the weightiest near it. Then members outside a group's
-largest component meet all members of other components, each pair in the first group
-that both share. So a large group of near copies costs its size, not its square, and
-no pair that matters is left out.
+a group meets one leader, the weightiest near it, and of all its leaders the ``SOONER``
+weightiest are verified. Then members outside a group's largest component meet all
+members of other components, each pair in the first group that both share. No pair
+that matters is left out; what is compared within a group still grows with its square,
+what leaves it does so only by pairs near 0.8 or, over some 1,300 shingles, where the
+sketch is full, near 0.7.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -50,6 +55,10 @@ PIVOTS = 4
 #: Rows of groups that a task holds at once, unless one group has more; pairs that it returns at once.
 GROUP, PAIRS = 1 << 15, 1 << 18
 _CHUNK = 8192
+#: Bits of a parity sketch.
+PARITY = 1024
+#: Pairs of a text, with the weightiest of its leaders, that are verified first; this decides which pairs come first, not which come.
+SOONER = 8
 #: Texts whose hashes may be broadcast to fetch them; more are fetched by a shuffled join.
 NAMED = 500_000
 #: Tables whose groups are counted to find the middle of a group of near copies.
@@ -61,7 +70,8 @@ _MIX, _AGAIN = (_RNG.integers(0, 2**63, WIDTH // 64, dtype=np.int64).view(np.uin
 _DRAWN = np.stack([_RNG.choice(WIDTH, CUT, replace=False) for _ in range(TABLES)])
 _ODD = _RNG.integers(0, 2**63, SHINGLE + 1, dtype=np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
 _WORDS = [f"w{i}" for i in range(WIDTH // 64)]
-_NODE = f"node binary, n int, subsets array<binary>, fp struct<{', '.join(f'{w}: long' for w in _WORDS)}>"
+_PARITIES = [f"p{i}" for i in range(PARITY // 64)]
+_NODE = f"node binary, n int, subsets array<binary>, fp struct<{', '.join(f'{w}: long' for w in _WORDS)}>, parity struct<{', '.join(f'{w}: long' for w in _PARITIES)}>"
 
 
 def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -91,6 +101,12 @@ def fingerprint(x: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > len(x)).view(np.int64)
 
 
+def parity(x: np.ndarray) -> np.ndarray:
+    """Parity sketch of a set of shingles, as words: a bit is 1 if an odd number of them falls on it."""
+    on = np.bincount((x & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY)
+    return np.packbits((on & 1).astype(np.uint8)).view(np.int64)
+
+
 def group_keys(fp: np.ndarray, tables: int = TABLES) -> np.ndarray:
     """The groups of fingerprints (a row of words each): number of the table, then the bits drawn for it."""
     bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1)
@@ -103,13 +119,14 @@ def _node(x: np.ndarray) -> bytes:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, node, n, subsets, fp): equal shingle sets are one node; subsets names those of four of a set of five."""
+    """(doc_id, text_hash, node, n, subsets, fp, parity): equal shingle sets are one node; subsets names those of four of a set of five."""
 
     def run(c):
         sets = [shingles(t) for t in c["text"]]
         subsets = [[_node(np.delete(x, i)) for i in range(len(x))] if len(x) == LEAST + 1 else [] for x in sets]
         fps = [dict(zip(_WORDS, fingerprint(x).tolist(), strict=True)) for x in sets]
-        return {"doc_id": c["doc_id"], "text_hash": c["text_hash"], "node": [_node(x) for x in sets], "n": [len(x) for x in sets], "subsets": subsets, "fp": fps}
+        parities = [dict(zip(_PARITIES, parity(x).tolist(), strict=True)) for x in sets]
+        return {"doc_id": c["doc_id"], "text_hash": c["text_hash"], "node": [_node(x) for x in sets], "n": [len(x) for x in sets], "subsets": subsets, "fp": fps, "parity": parities}
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     return arrow_map(rows, run, f"doc_id long, text_hash long, {_NODE}")
@@ -136,10 +153,11 @@ def _dealt(nodes: DataFrame, words: list[str], also: list[str], tables: int = TA
             keys = group_keys(np.stack([b[w].to_numpy() for w in _WORDS], axis=1), tables)
             yield pack({"key": keys.ravel().astype(np.int32)} | {c: np.repeat(b[c].to_numpy(), tables) for c in ("id", *words, *also)})
 
-    return nodes.where(F.col("n") >= LEAST).select("id", "fp.*", *[F.col(c).cast("long").alias(c) for c in also]).mapInArrow(run, target)
+    parities = ["parity.*"] if set(words) & set(_PARITIES) else []
+    return nodes.where(F.col("n") >= LEAST).select("id", "fp.*", *parities, *[F.col(c).cast("long").alias(c) for c in also]).mapInArrow(run, target)
 
 
-def _differ(words: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _differ(words: Sequence[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int16) for w in words)
 
 
@@ -186,8 +204,8 @@ class Groups:
             free[j[own]] = False
             yield i[own], j[own]
 
-    def others(self, component: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All pairs of unlike components (sorted within a group) but those of a group's largest one, by all bits and sizes; each pair in the first table alone that has it."""
+    def others(self, component: np.ndarray, n: np.ndarray, parities: Sequence[np.ndarray] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of unlike components (sorted within a group) but those of a group's largest one, by all bits, sizes and parity sketches; each pair in the first table alone that has it."""
         run = np.cumsum(self.new | np.concatenate(([True], component[1:] != component[:-1]))) - 1
         length, of = np.bincount(run), np.zeros(run[-1] + 1, np.int64)
         of[run] = self.of
@@ -205,6 +223,8 @@ class Groups:
             i, j = i[fit], j[fit]
             fit = _differ(self.words, i, j) <= FAR
             i, j = i[fit], j[fit]
+            fit = _differ(parities, i, j) * (part + whole) <= (n[i] + n[j]) * (whole - part)
+            i, j = i[fit], j[fit]
             for lo in range(0, len(i), _CHUNK):
                 x, y = i[lo : lo + _CHUNK], j[lo : lo + _CHUNK]
                 bits = np.unpackbits(np.stack([w[x] ^ w[y] for w in self.words], axis=1).view(np.uint8), axis=1)
@@ -214,23 +234,25 @@ class Groups:
 
 
 def _linked(dealt: DataFrame, order: Column) -> DataFrame:
-    """(a, b), ids of candidates: those of Groups.others() if rows have a component, else of Groups.stars(), where a is the leader."""
-    target, pack = arrow_rows("a long, b long")
-    words = [c for c in dealt.columns if c in _WORDS]
+    """(a, b), ids of candidates: those of Groups.others() if rows have a component, else of Groups.stars(), where a is the leader, with (weight_a, weight_b)."""
+    words, parities = ([c for c in dealt.columns if c in of] for of in (_WORDS, _PARITIES))
     components_known = "component" in dealt.columns
+    told = {"id": ("a", "b")} if components_known else {"id": ("a", "b"), "weight": ("weight_a", "weight_b")}
+    names = [x for ends in told.values() for x in ends]
+    target, pack = arrow_rows(", ".join(f"{x} long" for x in names))
 
     def pairs(rows: pa.Table):
         c = {n: rows[n].to_numpy() for n in rows.column_names}
         groups = Groups(c["key"], [c[w].view(np.uint64) for w in words])
         held, n = [], 0
-        for i, j in groups.others(c["component"], c["n"]) if components_known else groups.stars():
-            held.append((c["id"][i], c["id"][j]))
+        for i, j in groups.others(c["component"], c["n"], [c[w].view(np.uint64) for w in parities]) if components_known else groups.stars():
+            held.append([c[x][k] for x in told for k in (i, j)])
             n += len(i)
             if n >= PAIRS:
-                yield pack(dict(zip("ab", map(np.concatenate, zip(*held)))))
+                yield pack(dict(zip(names, map(np.concatenate, zip(*held)))))
                 held, n = [], 0
         if n:
-            yield pack(dict(zip("ab", map(np.concatenate, zip(*held)))))
+            yield pack(dict(zip(names, map(np.concatenate, zip(*held)))))
 
     def run(batches):
         held, n, limit = [], 0, GROUP
@@ -259,8 +281,17 @@ def _weighed(nodes: DataFrame) -> DataFrame:
     return nodes.join(weight, "id", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
 
 
+def _differing(x: str, y: str, words: list[str]) -> Column:
+    return reduce(Column.__add__, [F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in words])
+
+
 def _close(x: str, y: str) -> Column:
-    return reduce(Column.__add__, [F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in _WORDS]) <= FAR
+    return _differing(x, y, _WORDS) <= FAR
+
+
+def _parities_fit(x: str, y: str, m: str, n: str) -> Column:
+    part, whole = SIMILARITY
+    return _differing(x, y, _PARITIES) * (part + whole) <= (F.col(m) + F.col(n)) * (whole - part)
 
 
 def _sizes_fit(m: str, n: str) -> Column:
@@ -269,9 +300,10 @@ def _sizes_fit(m: str, n: str) -> Column:
 
 
 def _candidates(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and whole fingerprints leave a link possible."""
-    of = lambda k: nodes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("fp").alias(f"fp{k}"))
-    return materialize(pairs.join(of("a"), "a").join(of("b"), "b").where(_sizes_fit("na", "nb") & _close("fpa", "fpb")).select("a", "b"), "near-candidates")
+    """The pairs (a, b) whose sizes, whole fingerprints and parity sketches leave a link possible."""
+    of = lambda k: nodes.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}{k}") for c in ("n", "fp", "parity")])
+    fit = _sizes_fit("na", "nb") & _close("fpa", "fpb") & _parities_fit("paritya", "parityb", "na", "nb")
+    return materialize(pairs.join(of("a"), "a").join(of("b"), "b").where(fit).select("a", "b"), "near-candidates")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -288,14 +320,23 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _first_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b): leaders of groups and the members that they cover."""
-    return materialize(_linked(_dealt(_weighed(nodes), _WORDS[: SHORT // 64], ["weight"]), F.desc("weight")).distinct(), "near-pairs")
+    """(a, b, weight): leaders of groups and the members that they cover; a is the weightier of both, with its weight."""
+    pairs = _linked(_dealt(_weighed(nodes), _WORDS[: SHORT // 64], ["weight"]), F.desc("weight"))
+    x, y = (F.struct(F.col(f"weight_{k}").alias("weight"), F.col(k).alias("id")) for k in "ab")
+    pairs = pairs.select(F.greatest(x, y).alias("x"), F.least(x, y).alias("y"))
+    return materialize(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.weight").alias("weight")).distinct(), "near-pairs")
+
+
+def _sooner(met: DataFrame) -> DataFrame:
+    """(a, b): the pairs of each b with the SOONER weightiest a; _other_pairs() has those of the others that still matter."""
+    turn = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("weight"), F.desc("a")))
+    return met.select("a", "b", turn.alias("turn")).where(F.col("turn") <= SOONER).select("a", "b")
 
 
 def _other_pairs(nodes: DataFrame, met: DataFrame, known: DataFrame) -> DataFrame:
     """(a, b): members outside a group's largest component with those of its other ones, but for known pairs. nodes: with component; met: pairs with all ids that are near any."""
     ids = met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct()
-    rest = _linked(_dealt(nodes.join(ids, "id", "left_semi"), _WORDS, ["component", "n"]), F.col("component"))
+    rest = _linked(_dealt(nodes.join(ids, "id", "left_semi"), [*_WORDS, *_PARITIES], ["component", "n"]), F.col("component"))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     known = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return materialize(rest.join(known, ["a", "b"], "left_anti"), "near-pairs")
@@ -322,11 +363,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """
     rows = materialize(_sketches(docs), "sketches")
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
-    nodes = rows.groupBy("node").agg(F.min(own).alias("best"), *[F.first(c).alias(c) for c in ("n", "subsets", "fp")])
+    nodes = rows.groupBy("node").agg(F.min(own).alias("best"), *[F.first(c).alias(c) for c in ("n", "subsets", "fp", "parity")])
     nodes = materialize(nodes.withColumn("id", F.monotonically_increasing_id()), "near-nodes")
 
     met = _first_pairs(nodes)
-    first = _candidates(met, nodes)
+    first = _candidates(_sooner(met), nodes)
     near = _verified(first, docs, nodes)
     near = materialize(near.unionByName(_subset_links(nodes)), "near-links")
     rest = _other_pairs(_labelled(nodes, near), met, first)

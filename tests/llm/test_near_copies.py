@@ -100,3 +100,40 @@ def test_four_shingles_within_five(spark):
     texts = [" ".join(f"s{i}x{j}" for j in range(n)) for i in range(40) for n in (8, 9)]
     got = {r.doc_id: r.component for r in near_copies.near_copies(frame(spark, list(enumerate(texts)))).collect()}
     assert len(set(got.values())) == 40 and all(got[2 * i] == got[2 * i + 1] for i in range(40))
+
+
+def test_parity_sketches_differ_by_no_more_than_the_sets():
+    rng = random.Random(6)
+    for n, m in ((1, 2), (150, 10), (150, 40), (600, 200), (5000, 3000)):
+        x = [rng.randrange(2**64) for _ in range(n + m)]
+        a, b = (np.unique(np.array(v, np.uint64)) for v in (x[:n], x[m // 2 : n + m]))
+        differ = int(np.bitwise_count((near_copies.parity(a) ^ near_copies.parity(b)).view(np.uint64)).sum())
+        lacking = len(np.setxor1d(a, b))
+        assert differ <= lacking and (lacking - differ) % 2 == 0
+        assert lacking > 60 or differ >= lacking - 8
+
+
+def star(m, seed=8):
+    """A text of 150 words and copies with two to four words changed: those with four are at 0.76 to it, two copies at 0.57 to 0.76 where their changes lie apart."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(base)]
+    for i in range(m):
+        ws = list(base)
+        for at in rng.sample(range(5, 145), 2 + i % 3):
+            ws[at] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(ws))
+    return texts
+
+
+def test_pairs_of_a_large_group_of_near_copies_do_not_grow_with_its_square(spark, monkeypatch):
+    joined, candidates, verified = [], near_copies._candidates, near_copies._verified
+    monkeypatch.setattr(near_copies, "_candidates", lambda pairs, *a: joined.append(pairs.count()) or candidates(pairs, *a))
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *a: joined.append(pairs.count()) or verified(pairs, *a))
+    texts = star(600)
+    got = {r.doc_id: (r.component, r.kept) for r in near_copies.near_copies(frame(spark, list(enumerate(texts)))).collect()}
+    want, first = brute(texts), {}
+    for i, c in enumerate(want):
+        assert first.setdefault(got[i][0], c) == c and got[i][1] == (i == c)
+    assert len(first) == len(set(want)) > 100
+    assert sum(joined) <= 15 * len(texts), joined
