@@ -12,7 +12,7 @@ from ..functions import distance as D
 from ..functions import hashing as H
 from ..functions import maps as M
 from ..operators import knn as K
-from ..operators.selection import cleared, project, replace_column
+from ..operators.selection import cleared, numbered, project, replace_column
 from ..sources.catalog import AlreadyExists, Catalog, NotFound, Protected
 from ..sources.storage import scratch
 from ..sources.table import Table
@@ -357,11 +357,7 @@ _NUMBERED = "SELECT c_custkey, c_acctbal, (row_number() OVER (ORDER BY c_custkey
 
 def _ordered(spark, sf):
     """Numbers the rows in the order in which the scan hands them on."""
-    rows = _customers(spark, sf).scan([0], ordered=True)
-    first = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # one a partition
-    before = {r.part: sum(x.n for x in first if x.part < r.part) for r in first}
-    start = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.spark_partition_id()) if before else F.lit(0)
-    return rows.select("c_custkey", (start + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias("nr"))
+    return numbered(_customers(spark, sf).scan([0], ordered=True), "nr")
 
 
 def _in_batches(spark, sf):

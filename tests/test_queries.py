@@ -34,6 +34,20 @@ def test_against_duckdb(spark, sf, duck, name):
     assert rows(map(tuple, got.select(*names).collect())) == rows(want.fetchall())
 
 
+def test_ordered_scan_over_partitions(spark, sf, duck):
+    conf = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}  # as of larger tables, whose partitions are merged by bytes
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = QUERIES["ordered_scan"](spark, sf)
+        assert rows(map(tuple, got.collect())) == rows(duck.execute(SQL["ordered_scan"]).fetchall())
+        assert sorted(r.nr for r in got.select("nr").collect()) == list(range(got.count()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_plans(spark, sf):
     plan = QUERIES["project_subset"](spark, sf)._jdf.queryExecution().toString()
     assert "ReadSchema: struct<c_custkey:bigint,c_acctbal:double>" in plan
