@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,10 +15,16 @@ from pyspark.sql import types as T
 from ..functions.distance import METRICS, distance
 from ..sources.storage import scratch
 
-#: Numbers in the query vectors that one pass over the table answers (8 bytes each, broadcast).
-BLOCK = 1 << 23
-#: Distances that a task holds at once.
-_PAIRS = 1 << 22
+#: Numbers (8 bytes each) that a task holds for the queries which one pass over the table answers: their vectors, broadcast, and k rows of each.
+BLOCK = 1 << 20
+#: What a query's own arrays take beside these.
+_OWN = 32
+#: Distances that a task holds at once, and numbers in the vectors of the rows that they are of.
+_PAIRS, _TILE = 1 << 18, 1 << 17
+#: Rows of a task's result that leave it at once.
+_OUT = 1 << 16
+#: Numbers in a block's vectors from which on a table of too few partitions for the cores is dealt out anew.
+_SPREAD = 1 << 16
 #: Digits that distances are rounded to before ties are broken by id.
 DIGITS = 6
 
@@ -105,24 +112,42 @@ class _Best:
 
     def __init__(self, n: int, k: int):
         self.k, self.d, self.ids = k, [np.zeros(0)] * n, [np.zeros(0, np.int64)] * n
+        self.last = np.full(n, np.nan)  # the k-th distance; NaN: every row is nearer or ties
 
-    def add(self, i: int, d: np.ndarray, ids: np.ndarray) -> None:
-        if len(d) > self.k:  # NaN sorts last, and ties of the k-th stay in
+    def add(self, queries: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
+        """Rows ``ids``, at (queries, rows) distances ``d``."""
+        near = ~(d > self.last[queries, None])  # NaN sorts last, and ties of the k-th stay in
+        for j in np.flatnonzero(near.any(1)):
+            self._add(queries[j], d[j, near[j]], ids[near[j]])
+
+    def _add(self, i: int, d: np.ndarray, ids: np.ndarray) -> None:
+        if len(d) > self.k:
             keep = ~(d > np.partition(d, self.k - 1)[self.k - 1])
             d, ids = d[keep], ids[keep]
         d, ids = np.concatenate([self.d[i], d]), np.concatenate([self.ids[i], ids])
         order = np.lexsort((ids, d))[: self.k]
         self.d[i], self.ids[i] = d[order], ids[order]
+        if len(order) == self.k:
+            self.last[i] = self.d[i][-1]
+
+
+def _tiles(at: np.ndarray, dim: int) -> Iterator[np.ndarray]:
+    """Row numbers in pieces whose vectors have about ``_TILE`` numbers."""
+    step = max(1, _TILE // max(1, dim))
+    for lo in range(0, len(at), step):
+        yield at[lo : lo + step]
 
 
 def knn_batch(df: DataFrame, queries: DataFrame, k: int, metric: str = "l2", vec: str = "embedding", id_col: str = "vec_id", query_id: str = "query_id", query_vec: str = "query", probe: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(query_id, id, distance, rank) of the k nearest rows of each query.
 
-    Queries are broadcast in blocks of ``BLOCK`` numbers, one pass over the table
-    each; the driver holds one block, and if there are more, a block's result is
-    written before the next. A task yields at most k rows a query, so what is
-    shuffled follows tasks, not pairs. ``probe`` gives (queries, cells) true where a
-    query looks into a cell of column ``_cell``.
+    Queries are broadcast in blocks, which with their results have ``BLOCK`` numbers
+    at most (or one query), one pass over the table each; the driver holds one block,
+    and if there are more, a block's result is written before the next. A task holds
+    a block, ``_TILE`` numbers of rows and ``_PAIRS`` distances, whatever the number
+    of rows and queries. It yields at most k rows a query, so what is shuffled follows
+    tasks, not pairs. ``probe`` gives (queries, cells) true where a query looks into a
+    cell of column ``_cell``.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
@@ -131,44 +156,52 @@ def knn_batch(df: DataFrame, queries: DataFrame, k: int, metric: str = "l2", vec
     if k <= 0:
         return none
     rows = df.where(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), F.col(vec).alias("v"), *(["_cell"] if probe else []))
+    if k > TOP:
+        k = max(1, min(k, rows.count()))
     schema = T._parse_datatype_string(f"{query_id} long, {id_col} long, distance double")
+    cores = spark.sparkContext.defaultParallelism
 
-    def near(ids: np.ndarray, q: np.ndarray) -> DataFrame:
-        looks = probe(q) if probe else None
-        shared = spark.sparkContext.broadcast((ids, q, looks))
+    def near(held: list[tuple[int, np.ndarray]]) -> tuple[DataFrame, Broadcast]:
+        ids, q = np.array([i for i, _ in held]), np.stack([v for _, v in held])
+        shared = spark.sparkContext.broadcast((ids, q, probe(q) if probe else None))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, q, looks = shared.value
             best = _Best(len(q), k)
             for b in batches:
-                if not len(b):
-                    continue
-                own, x = b[id_col].to_numpy(), np.stack(b["v"].to_numpy()).astype(np.float64)
+                own, v = b[id_col].to_numpy(), b["v"].to_numpy()
                 cells = np.zeros(len(own), int) if looks is None else b["_cell"].to_numpy()
                 for c in np.unique(cells):
-                    at = np.flatnonzero(cells == c)
                     by = np.arange(len(q)) if looks is None else np.flatnonzero(looks[:, c])
-                    step = max(1, _PAIRS // len(at))
-                    for lo in range(0, len(by), step):
-                        d = np.round(pairwise(q[by[lo : lo + step]], x[at], metric), DIGITS) + 0.0
-                        for i, row in zip(by[lo : lo + step].tolist(), d, strict=True):
-                            best.add(i, row, own[at])
-            yield pd.DataFrame({query_id: np.repeat(ids, [len(x) for x in best.ids]), id_col: np.concatenate([np.zeros(0, np.int64), *best.ids]), "distance": np.concatenate([np.zeros(0), *best.d])})
-
+                    for at in _tiles(np.flatnonzero(cells == c), q.shape[1]):
+                        x = np.stack(v[at]).astype(np.float64)
+                        step = max(1, _PAIRS // len(at))
+                        for lo in range(0, len(by), step):
+                            some = by[lo : lo + step]
+                            best.add(some, np.round(pairwise(q[some], x, metric), DIGITS) + 0.0, own[at])
+            step = max(1, _OUT // k)
+            for lo in range(0, len(ids), step):
+                d, rows = best.d[lo : lo + step], best.ids[lo : lo + step]
+                yield pd.DataFrame({query_id: np.repeat(ids[lo : lo + step], [len(x) for x in d]), id_col: np.concatenate(rows), "distance": np.concatenate(d)})
+
+        dealt = rows.repartition(cores, id_col) if q.size >= _SPREAD and rows.rdd.getNumPartitions() < cores else rows
         rank = F.row_number().over(Window.partitionBy(query_id).orderBy("distance", id_col))
-        return rows.mapInPandas(run, schema).withColumn("rank", rank).where(F.col("rank") <= k)
+        return dealt.mapInPandas(run, schema).withColumn("rank", rank).where(F.col("rank") <= k), shared
 
     held, numbers, path = [], 0, None
     for r in queries.select(F.col(query_id).cast("long"), query_vec).where(F.col(query_vec).isNotNull()).toLocalIterator():
-        if held and numbers + len(r[1]) > BLOCK:
+        own = len(r[1]) + 2 * k + _OWN
+        if held and numbers + own > BLOCK:
             path = path or scratch(spark, "nearest")
-            near(np.array([i for i, _ in held]), np.stack([v for _, v in held])).write.mode("append").parquet(path)
+            found, shared = near(held)
+            found.write.mode("append").parquet(path)
+            shared.destroy()
             held, numbers = [], 0
         held.append((r[0], np.array(r[1], np.float64)))
-        numbers += len(r[1])
+        numbers += own
     if not held:
         return none
-    last = near(np.array([i for i, _ in held]), np.stack([v for _, v in held]))
+    last, _ = near(held)
     return last if path is None else spark.read.schema(last.schema).parquet(path).unionByName(last)
 
 
@@ -217,7 +250,9 @@ class VectorIndex:
 
         @F.pandas_udf("int")
         def cell(v: pd.Series) -> pd.Series:
-            return pd.Series(pairwise(c, _placed(np.stack(v.to_numpy()).astype(np.float64), metric), "l2_squared").argmin(0) if len(v) else [])
+            v = v.to_numpy()
+            near = [pairwise(c, _placed(np.stack(v[at]).astype(np.float64), metric), "l2_squared").argmin(0) for at in _tiles(np.arange(len(v)), c.shape[1])]
+            return pd.Series(np.concatenate(near) if near else [])
 
         return rows.withColumn("_cell", cell(self.vec))
 

@@ -1,6 +1,8 @@
 import math
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +121,40 @@ def test_query_blocks_and_small_batches(spark, monkeypatch):
         assert sorted(map(repr, rows.collect())) == sorted(map(repr, want)) and len(want) == 180
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("kind", ["flat", "ivf"])
+def test_batch_memory_of_a_task(spark, monkeypatch, kind):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(10_000, 32)).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(10_000), "embedding": list(x)}))
+    q = df.where("vec_id < 1000").selectExpr("vec_id AS query_id", "embedding AS query")
+    index, tasks, original = VectorIndex(kind, cells=2, nprobe=2).build(df), [], type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, fn, schema: tasks.append(fn) or original(self, fn, schema))
+    index.search_batch(q, 5)
+    (run,) = tasks
+    batch = pd.DataFrame({"vec_id": np.arange(10_000), "v": list(x), "_cell": np.arange(10_000) % 2})
+    tracemalloc.start()
+    try:
+        out = pd.concat(run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 20e6
+    d = np.round(pairwise(x[:50].astype(float), x.astype(float), "l2"), 6)
+    want = {i: np.lexsort((np.arange(10_000), d[i]))[:5].tolist() for i in range(50)}
+    assert {i: out[out.query_id == i].sort_values(["distance", "vec_id"]).vec_id.tolist() for i in range(50)} == want
+
+
+def test_batch_of_many_neighbours_and_spread_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(120, 3)), 1).astype(np.float32)  # with ties
+    x[7] = np.nan
+    df = frame(spark, x.tolist()).coalesce(1)
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(20)], "query_id long, query array<float>")
+    want = {k: sorted(map(repr, knn_batch(df, q, k).collect())) for k in (7, 120)}
+    assert len(want[7]) == 140 and len(want[120]) == 2400
+    for name, value in (("TOP", 50), ("BLOCK", 2000), ("_SPREAD", 1), ("_TILE", 20), ("_PAIRS", 16), ("_OUT", 9)):
+        monkeypatch.setattr(knn_module, name, value)
+    assert sorted(map(repr, knn_batch(df, q, 7).collect())) == want[7]
+    assert sorted(map(repr, knn_batch(df, q, 10**9).collect())) == want[120]
